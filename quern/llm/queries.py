@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.chat import op6_chat_format, op6_sql
+from quern.llm.imatch import op9_imatch, op9_sql
+from quern.llm.mixing import op4_mixing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_chat_format": op6_chat_format}
-ORACLE: dict[str, str] = {"op6_chat_format": op6_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_mixing": op4_mixing, "op6_chat_format": op6_chat_format, "op9_imatch": op9_imatch}
+ORACLE: dict[str, str] = {"op6_chat_format": op6_sql(), "op9_imatch": op9_sql()}
