@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.arrowfile import op1_token_files
 from quern.llm.chat import op6_chat_format, op6_sql
+from quern.llm.extract import op8_extract
 from quern.llm.imatch import op9_imatch, op9_sql
+from quern.llm.language import op5_language
 from quern.llm.media import op7_media
 from quern.llm.mixing import op4_mixing
 from quern.llm.packing import op2_packing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_files": op1_token_files, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op6_chat_format": op6_chat_format, "op7_media": op7_media, "op9_imatch": op9_imatch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_files": op1_token_files, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op5_language": op5_language, "op6_chat_format": op6_chat_format, "op7_media": op7_media, "op8_extract": op8_extract, "op9_imatch": op9_imatch}
 ORACLE: dict[str, str] = {"op6_chat_format": op6_sql(), "op9_imatch": op9_sql()}
