@@ -183,8 +183,8 @@ class Calibration:
         self.temperature = best[1]
 
     def beyond(self, j: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Six deviations above the mean, more for short texts, whose entropies vary more."""
-        return entropy > self.mean[j] + 6 * self.spread[j] * np.sqrt(1 + 400 / np.maximum(n, 1)) + 0.3
+        """Eight deviations and half a nat above the mean, more for short texts, whose entropies vary more."""
+        return entropy > self.mean[j] + 8 * self.spread[j] * np.sqrt(1 + 400 / np.maximum(n, 1)) + 0.5
 
 
 def fit(docs: DataFrame, training: Column, sample: int = SAMPLE, order: int = ORDER) -> tuple[Models, Calibration] | None:

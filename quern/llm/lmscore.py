@@ -6,6 +6,9 @@ any segmentation into the pieces of an existing vocabulary, whose marginal proba
 sums over the lattice. The pieces' scores start from the vocabulary's own and are refitted by expectation
 maximisation on a bounded sample of training words.
 
+A text's probability is the marginal over classes of text, one for each of the commonest labels of the training documents:
+each class has its own counts, which back off to those of all, and its own scores of pieces. No label of a scored text is read.
+
 Word counts cover all training documents; the table grows with the corpus and is only joined, never gathered. The few
 words frequent enough to fill a task (at most HOT of them can have a share of 1 / HOT of all) are broadcast, so
 joins by word meet no hot key.
@@ -30,7 +33,9 @@ from quern.llm import common
 
 HOT = 50_000
 #: Words that fit the pieces' scores, rounds of fitting, longest piece in characters.
-FIT_WORDS, ROUNDS, LONGEST = 12_000, 3, 10
+FIT_WORDS, ROUNDS, LONGEST = 5_000, 4, 10
+#: Classes with models of their own.
+CLASSES = 8
 START = "▁"
 LN10 = math.log(10)
 
@@ -113,101 +118,148 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def count_words(docs: DataFrame, modulus: int) -> DataFrame:
-    """word, trained, all: occurrences in the training documents of docs(doc_id, text) and in all."""
+def classes_of(docs: DataFrame, trained) -> list[str]:
+    """The labels of the training documents, commonest first, at most CLASSES; others and null form one more class."""
+    got = docs.filter(trained & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES)
+    return [r["lang"] for r in got.collect()]
+
+
+def count_words(docs: DataFrame, modulus: int, labels: list[str]) -> DataFrame:
+    """word, all, c0 ... cK: occurrences in all of docs(doc_id, text, lang), and in the training documents of each class."""
+    K = len(labels) + 1
+    index = {x: i for i, x in enumerate(labels)}
+    names = ["word", "all", *(f"c{k}" for k in range(K))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out():
-            names = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array([train.get(w, 0) for w in names], pa.int64()), pa.array([every[w] for w in names], pa.int64())], names=["word", "trained", "all"])
+            words = list(every)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([every[w] for w in words], pa.int64()), *(pa.array([t.get(w, 0) for w in words], pa.int64()) for t in train)], names=names)
 
-        train, every = Counter(), Counter()
+        train, every = [Counter() for _ in range(K)], Counter()
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 w = _words(text)
                 every.update(w)
                 if zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus:
-                    train.update(w)
-                if len(every) > 300_000:
+                    train[index.get(lang, K - 1)].update(w)
+                if len(every) > 250_000:
                     yield out()
-                    train, every = Counter(), Counter()
+                    train, every = [Counter() for _ in range(K)], Counter()
         yield out()
 
-    got = docs.select("doc_id", "text").mapInArrow(run, "word string, trained long, `all` long")
-    return got.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("all").alias("all"))
+    got = docs.select("doc_id", "text", "lang").mapInArrow(run, "word string, " + ", ".join(f"`{x}` long" for x in names[1:]))
+    return got.groupBy("word").agg(*[F.sum(x).alias(x) for x in names[1:]])
+
+
+class Model:
+    """Per class: discounted counts, backed off to those of all classes, backed off to the class's lattice."""
+
+    def __init__(self, tokens: np.ndarray, kinds: np.ndarray, n_all: int, v_all: int, discount: float, lattices: list[Lattice], docs: np.ndarray):
+        self.n, self.all, self.d, self.lattices, self.docs = tokens, n_all, discount, lattices, docs
+        self.free = np.where(tokens > 0, discount * kinds / np.maximum(tokens, 1), 1.0)
+        self.free_all = discount * v_all / n_all if n_all else 1.0
+        self.base_total = n_all + 0.1 * (v_all + 1)
+
+    def best(self, c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """log10 probability of words under each class; c: counts by class, spelled: log10 of the lattices."""
+        total = np.maximum(c.sum(axis=1, keepdims=True) - self.d, 0) / max(1, self.all)
+        own = np.maximum(c - self.d, 0) / np.maximum(self.n, 1)
+        with np.errstate(divide="ignore"):
+            counted = np.log10(own + self.free * total)
+        loose = spelled + np.log10(self.free * self.free_all)
+        top = np.maximum(counted, loose)
+        return top + np.log1p(np.power(10.0, np.minimum(counted, loose) - top)) / LN10
+
+    def words(self, words: list[str], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Base and per-class log10 probabilities."""
+        spelled = np.array([[lat.log10(w) for lat in self.lattices] for w in words]).reshape(len(words), len(self.lattices))
+        return np.log10((c.sum(axis=1) + 0.1) / self.base_total), self.best(c, spelled)
+
+    def end(self) -> tuple[float, np.ndarray]:
+        """Base and per-class log10 probabilities of the end, which the lattice doesn't spell."""
+        base, best = math.log10((self.docs.sum() + 0.1) / self.base_total), self.best(self.docs[None, :].astype(float), np.full((1, len(self.n)), -30.0))
+        return base, best[0]
 
 
 def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text, lang)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held = common.crc_mod("doc_id", modulus) == 0
-    counts = common.settle(count_words(docs, modulus), "lm-words")
-    s = counts.agg(F.sum("trained").alias("n"), F.count_if(F.col("trained") > 0).alias("v"), F.count_if(F.col("trained") == 1).alias("once"), F.count_if(F.col("trained") == 2).alias("twice"), F.sum("all").alias("every")).first()
-    ends = docs.filter(~held).count()
-    n, v = (s["n"] or 0) + ends, (s["v"] or 0) + (ends > 0)
+    labels = classes_of(docs, ~held)
+    K = len(labels) + 1
+    cs = [f"c{k}" for k in range(K)]
+    trained = sum((F.col(c) for c in cs[1:]), F.col(cs[0]))
+    counts = common.settle(count_words(docs, modulus, labels), "lm-words").withColumn("trained", trained)
+    s = counts.agg(F.count_if(F.col("trained") > 0).alias("v"), F.count_if(F.col("trained") == 1).alias("once"), F.count_if(F.col("trained") == 2).alias("twice"), F.sum("all").alias("every"), *[F.sum(c).alias(c) for c in cs], *[F.count_if(F.col(c) > 0).alias(f"v{c}") for c in cs]).first()
+    by_lang = docs.filter(~held).groupBy(F.when(F.col("lang").isin(*labels), F.col("lang")).alias("lang") if labels else F.lit(None).cast("string").alias("lang")).count().collect()
+    ends = {r["lang"]: r["count"] for r in by_lang}
+    ends = np.array([ends.get(x, 0) for x in [*labels, None]])
+    tokens = np.array([s[c] or 0 for c in cs]) + ends
+    kinds = np.array([s[f"v{c}"] or 0 for c in cs]) + (ends > 0)
+    n, v = int(tokens.sum()), (s["v"] or 0) + int(ends.sum() > 0)
     discount = min(0.95, max(0.1, s["once"] / (s["once"] + 2 * s["twice"]))) if s["once"] else 0.5
-    free = discount * v / n if n else 1.0
-    below = math.log10(0.1 / (n + 0.1 * (v + 1)))
-    share = FIT_WORDS / max(1, s["v"] or 1)
-    sample = counts.filter((F.col("trained") > 0) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30))).select("word")
-    lattice = fit(sorted(r["word"] for r in sample.toLocalIterator() if len(r["word"]) <= 64), vocabulary(vocabulary_path))
-    model = spark.sparkContext.broadcast(lattice)
+    pieces = vocabulary(vocabulary_path)
+    lattices = []
+    for k, c in enumerate(cs):
+        share = FIT_WORDS / max(1, s[f"v{c}"] or 1)
+        sample = counts.filter((F.col(c) > 0) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30))).select("word") if tokens[k] else None
+        lattices.append(fit(sorted(r["word"] for r in sample.toLocalIterator() if len(r["word"]) <= 64) if sample else [], pieces))
+    lattices = [lattices[k] for k in range(K) if tokens[k] or K == 1 or not tokens.any()]
+    used = [k for k in range(K) if tokens[k]] or list(range(K))
+    made = Model(tokens[used], kinds[used], n, v, discount, lattices, ends[used])
+    prior = np.log10((ends[used] + 0.5) / (ends[used] + 0.5).sum())
+    model = spark.sparkContext.broadcast(made)
+    J = len(used)
+    bests = [f"b{j}" for j in range(J)]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = model.value
         for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            spelled = np.array([lat.log10(w) for w in words])
-            counted = np.maximum(c - discount, 0) / n if n else np.zeros(len(words))
-            with np.errstate(divide="ignore"):
-                whole = np.log10(counted)
-            loose = spelled + math.log10(free)
-            # log10(10^whole + 10^loose)
-            top = np.maximum(whole, loose)
-            best = top + np.log1p(np.power(10.0, np.minimum(whole, loose) - top)) / LN10
-            base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base), pa.array(best)], names=["word", "trained", "base", "best"])
+            c = np.stack([b.column(1 + k).to_numpy() for k in used], axis=1).astype(float)
+            base, best = model.value.words(b.column(0).to_pylist(), c)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.sum(axis=1) > 0), pa.array(base), *(pa.array(np.ascontiguousarray(best[:, j])) for j in range(J))], names=["word", "known", "base", *bests])
 
     least = max(2, math.ceil((s["every"] or 0) / HOT))
-    names = "word string, trained long, base double, best double"
-    hot = {r["word"].encode(): (r["base"], r["best"], r["trained"] > 0) for r in counts.filter(F.col("all") >= least).select("word", "trained").mapInArrow(rate, names).toLocalIterator()}
-    table = np.array([x for x in hot.values()], float).reshape(-1, 3)
+    names = "word string, known boolean, base double, " + ", ".join(f"{x} double" for x in bests)
+    hot = {r["word"].encode(): (float(r["known"]), r["base"], *(r[x] for x in bests)) for r in counts.filter(F.col("all") >= least).select("word", *cs).mapInArrow(rate, names).toLocalIterator()}
+    table = np.array(list(hot.values()), float).reshape(-1, 2 + J)
     shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(hot)}, table))
-    cold = counts.filter(F.col("all") < least).select("word", "trained").mapInArrow(rate, names)
+    cold = counts.filter(F.col("all") < least).select("word", *cs).mapInArrow(rate, names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values = shared.value
-        get = index.get
+        get, none = index.get, np.zeros(2 + J)
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part, rows, rest = b.slice(k, 512), [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    words = _words(text)
-                    h = int.from_bytes(zlib.crc32((text or "").encode("utf-8", "surrogatepass")).to_bytes(4, "little") + zlib.adler32((text or "").encode("utf-8", "surrogatepass")).to_bytes(4, "little"), "little", signed=True)
+                    raw, words = (text or "").encode("utf-8", "surrogatepass"), _words(text)
+                    h = int.from_bytes(zlib.crc32(raw).to_bytes(4, "little") + zlib.adler32(raw).to_bytes(4, "little"), "little", signed=True)
                     at = list(map(get, words))
                     if None in at:
                         loose = Counter(w for w, i in zip(words, at, strict=True) if i is None)
-                        rest += [(doc_id, h, w, c) for w, c in loose.items()]
+                        rest += [(doc_id, h, w, c, 0, 0, *none[1:]) for w, c in loose.items()]
                         at = [i for i in at if i is not None]
-                    base, best, known = values[at].sum(axis=0) if at else (0.0, 0.0, 0.0)
-                    rows.append((doc_id, h, None, 0, len(words) + 1, int(known), float(base), float(best)))
-                rows += [(d, h, w, c, 0, 0, 0.0, 0.0) for d, h, w, c in rest]
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                    sums = values[at].sum(axis=0) if at else none
+                    rows.append((doc_id, h, None, 0, len(words) + 1, int(sums[0]), *sums[1:]))
+                cols = list(zip(*(rows + rest), strict=True)) or [()] * (7 + J)
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + J)]
                 arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
                 arrays[2] = arrays[2].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "word", "n", "n_tokens", "n_known", "base", "best"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "word", "n", "n_tokens", "n_known", "base", *bests])
 
-    parts = common.settle(docs.mapInArrow(split, "doc_id long, h long, word string, n long, n_tokens long, n_known long, base double, best double"), "lm-parts")
-    sums = parts.filter("word IS NULL").select("doc_id", "h", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", "best")
+    parts = common.settle(docs.select("doc_id", "text").mapInArrow(split, "doc_id long, h long, word string, n long, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in bests)), "lm-parts")
+    sums = parts.filter("word IS NULL").select("doc_id", "h", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", *bests)
     joined = parts.filter("word IS NOT NULL").select("doc_id", "h", "word", "n").join(cold, "word")
-    rest = joined.select("doc_id", "h", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("trained") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.col("base")).alias("base"), (F.col("n") * F.col("best")).alias("best"))
-    got = sums.unionByName(rest).groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", "best")])
-    end_base = math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
-    end_best = math.log10(max(ends - discount, 0) / n) if ends else below
+    rest = joined.select("doc_id", "h", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("known"), F.col("n")).otherwise(0).alias("n_known"), *[(F.col("n") * F.col(x)).alias(x) for x in ("base", *bests)])
+    got = sums.unionByName(rest).groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", *bests)])
+    end_base, end_best = made.end()
     one = lambda c: F.col(c) / F.col("copies")
-    got = got.select("doc_id", held.alias("held_out"), one("n_tokens").cast("long").alias("n_tokens"), (one("n_known") + (1 if ends else 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (one("base") + end_base).alias("base_score"), (one("best") + end_best).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    # The marginal over the classes, in log space.
+    each = [one(x) + float(end_best[j] + prior[j]) for j, x in enumerate(bests)]
+    got = got.withColumn("top", F.greatest(*each) if J > 1 else each[0])
+    total = sum((F.pow(F.lit(10.0), e - F.col("top")) for e in each[1:]), F.pow(F.lit(10.0), each[0] - F.col("top")))
+    got = got.select("doc_id", held.alias("held_out"), one("n_tokens").cast("long").alias("n_tokens"), (one("n_known") + int(ends.sum() > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (one("base") + end_base).alias("base_score"), (F.col("top") + F.log10(total)).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return got.drop("_copy")
 
 

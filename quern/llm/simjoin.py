@@ -95,7 +95,7 @@ def chosen(tokens: np.ndarray) -> list[tuple[int, int]]:
     out = []
     limit = np.uint64(min(2**64 - 1, int(2.0**64 * min(1.0, BRANCH / (THRESHOLD * max(1, len(tokens)))))))
     for run in range(RUNS):
-        h = _mix(tokens + np.uint64(run + 1) * _M)
+        h = _mix(tokens + np.uint64((run + 1) * int(_M) % 2**64))
         for x in np.sort(h[h < limit]) if limit < np.uint64(2**64 - 1) else h:
             out.append((run, int(np.int64(_mix(np.array([x ^ np.uint64(run)]))[0]))))
     return out
@@ -192,7 +192,7 @@ def _descend(rows: DataFrame, depth: int) -> DataFrame:
                 t = pa.Table.from_batches([b.slice(k, 2048)])
                 node, s = t.column("node").to_numpy().astype(np.uint64), _bytes(t.column("sketch"), SKETCH)
                 with np.errstate(over="ignore"):
-                    h = _mix(_mix(node + np.uint64(depth) * _M)[:, None] ^ (place + s).astype(np.uint64) * _M)
+                    h = _mix(_mix(node + np.uint64(depth * int(_M) % 2**64))[:, None] ^ (place + s).astype(np.uint64) * _M)
                 i, j = np.nonzero(h < limit)
                 yield pa.RecordBatch.from_arrays([pa.array(h[i, j].astype(np.int64)), t.column("rid").take(pa.array(i)).combine_chunks(), t.column("sketch").take(pa.array(i)).combine_chunks()], names=["node", "rid", "sketch"])
 
