@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.compile import Compiler, Typed, kind_of_type, literal, total
 from quern.functions.parse import MIRROR, Reader, check_used, overlap, projection
@@ -278,12 +279,11 @@ def transact_get(table: TableDef, keys: list[dict]) -> DataFrame:
     """pos and the item of each key in order, nulls for a missing one; one DataFrame is one snapshot."""
     if not 1 <= len(keys) <= MAX_KEYS:
         raise ValidationError(f"a transaction has 1 to {MAX_KEYS} gets")
-    schema = table.df.select(*table.keys).schema.add("pos", "int")
+    schema = T.StructType([*table.df.select(*table.keys).schema.fields, T.StructField("pos", T.IntegerType())])
     wanted = table.df.sparkSession.createDataFrame([(*(k[n] for n in table.keys), i) for i, k in enumerate(keys)], schema)
-    cond = [table.df[k] == F.col(f"w.{k}") for k in table.keys]
     # The few keys first pick their items, which are then few too.
     found = table.df.join(F.broadcast(wanted.drop("pos").distinct()), list(table.keys), "left_semi")
-    return wanted.alias("w").join(found, [found[k] == F.col(f"w.{k}") for k in table.keys] if cond else None, "left").select("pos", *[found[c] for c in table.df.columns]).orderBy("pos")
+    return wanted.alias("w").join(found, [found[k] == F.col(f"w.{k}") for k in table.keys], "left").select("pos", *[found[c] for c in table.df.columns]).orderBy("pos")
 
 
 def base_lookup(table: TableDef, index: str, rows: DataFrame) -> DataFrame:

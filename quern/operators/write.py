@@ -94,10 +94,6 @@ def batch_write(table: TableDef, puts: DataFrame | None = None, deletes: DataFra
 # Update expressions
 
 
-def _number(v: Column) -> Column:
-    return v
-
-
 def _value(node, typed: Typed, like: T.DataType | None) -> Column:
     if node[0] == "value":
         return literal(node[1], like) if node[1] is not None else F.lit(None)
@@ -217,6 +213,7 @@ def transact(table: TableDef, puts: DataFrame | None = None, deletes: DataFrame
     done = batch_write(table, puts, deletes)
     if reasons is None:
         return done, spark.createDataFrame([], "pos int, ok boolean, reason string")
-    gate = reasons.agg(F.bool_and("ok").alias("_go"))
-    now = table.df.crossJoin(F.broadcast(gate)).filter("NOT _go").drop("_go").unionByName(done.table.crossJoin(F.broadcast(gate)).filter("_go").drop("_go"))
-    return Written(now, done.changes.crossJoin(F.broadcast(gate)).filter("_go").drop("_go")), reasons
+    # At most MAX_TRANSACTION checks: one small job decides.
+    if reasons.agg(F.bool_and("ok")).first()[0]:
+        return done, reasons
+    return Written(table.df, done.changes.limit(0)), reasons
