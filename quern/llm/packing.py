@@ -53,16 +53,37 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
 
 
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows of counts) and how often each is used in the relaxed program: revised simplex on the covering of demand."""
+    """Patterns (rows of counts) and how often each is used in the relaxed program: revised simplex on the covering of demand.
+
+    Duals of a young basis swing widely, so patterns are priced at a point between them and the duals of the best bound
+    so far; a pattern that doesn't pay at the basis's own duals moves the point towards them instead.
+    """
     m = len(sizes)
-    patterns = np.diag(capacity // sizes).astype(float)
+    patterns, price = np.diag(capacity // sizes).astype(float), np.ones(m)
     inverse = np.diag(1.0 / (capacity // sizes))
     used = inverse @ demand
+    centre, bound, pull = sizes / capacity, float(sizes @ demand) / capacity, 0.8
     for _ in range(STEPS):
-        dual = inverse.sum(axis=0)
-        value, counts = knapsack(dual, sizes, capacity)
-        if value <= 1 or 1 - 1 / value < GAP:
+        total = float(used @ price)
+        if total - bound <= GAP * total:
             break
+        dual = price @ inverse
+        low = int(dual.argmin())
+        if dual[low] < -1e-9:  # covering more than the demand is free
+            counts, cost = -np.eye(m)[low], 0.0
+        else:
+            cost = 1.0
+            at = pull * centre + (1 - pull) * dual
+            value, counts = knapsack(at, sizes, capacity)
+            got = float(at @ demand) / max(1.0, value)
+            if got > bound:
+                bound, centre = got, at / max(1.0, value)
+            if dual @ counts <= 1 + 1e-9:
+                if pull < 1e-3:
+                    break
+                pull = pull - 0.2 if pull > 0.3 else 0.0
+                continue
+            pull = 0.8
         column = inverse @ counts
         ratio = np.where(column > 1e-9, used / np.where(column > 1e-9, column, 1), np.inf)
         r = int(ratio.argmin())
@@ -74,8 +95,9 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
         row = inverse[r] / column[r]
         inverse -= np.outer(column, row)
         inverse[r] = row
-        patterns[r] = counts
-    return patterns.astype(int).reshape(m, m), used
+        patterns[r], price[r] = counts, cost
+    real = price > 0
+    return patterns[real].astype(int), used[real]
 
 
 def plan(demand: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
