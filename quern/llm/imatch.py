@@ -55,6 +55,8 @@ def lexicon(docs: DataFrame, min_df: float = MIN_DF, max_df: float = MAX_DF) ->
     n = docs.count()
     df = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = df.filter((F.col("df") >= min_df * n) & (F.col("df") <= max_df * n))
+    # Written first: the filter on the mask would else move below the grouping and run for every occurrence of a term.
+    band = common.settle(band.select("term"), "imatch-band")
     kept = band.select("term", member_mask(F.col("term")).alias("mask")).filter("mask <> 0")
     # '' is no word; with it every document keeps a row in the join.
     return common.settle(kept.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask"))), "imatch-lexicon")
