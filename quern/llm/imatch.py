@@ -64,13 +64,19 @@ def lexicon(docs: DataFrame, min_df: float = MIN_DF, max_df: float = MAX_DF) ->
 
 def fingerprint(found: Column) -> Column:
     """found: array<struct<term, mask>> sorted by term."""
-    bits = F.array(*[F.lit(1 << k).cast("long") for k in range(len(RATES))])
+    eights = F.array(*[F.lit(255 << k).cast("long") for k in range(0, len(RATES), 8)])
 
-    def part(bit: Column) -> Column:
-        mine = F.filter(found, lambda x: x["mask"].bitwiseAND(bit) != 0)
+    def part(some: Column, bit: Column) -> Column:
+        mine = F.filter(some, lambda x: x["mask"].bitwiseAND(bit) != 0)
         return F.when(F.size(mine) > 0, F.substring(F.md5(F.concat_ws(" ", F.transform(mine, lambda x: x["term"]))), 1, 8)).otherwise(F.lit(NONE))
 
-    return F.concat_ws("", F.transform(bits, part))
+    def eight(all_bits: Column) -> Column:
+        # Few terms are in any of eight subsets, so each subset looks at those alone; an array of one binds them.
+        some = F.array(F.filter(found, lambda x: x["mask"].bitwiseAND(all_bits) != 0))
+        bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftleft", F.floor(all_bits / 255).cast("long"), i))
+        return F.concat_ws("", F.flatten(F.transform(some, lambda x: F.transform(bits, lambda b: part(x, b)))))
+
+    return F.concat_ws("", F.transform(eights, eight))
 
 
 def likeness(a: Column, b: Column) -> Column:
