@@ -38,53 +38,78 @@ FIT_WORDS, ROUNDS, LONGEST = 5_000, 4, 10
 CLASSES = 8
 START = "▁"
 LN10 = math.log(10)
+#: log score of a byte that spells part of a character.
+BYTE = math.log(0.02 / 256)
 
 
 class Lattice:
-    """Pieces with natural log scores; characters that no piece covers are spelled by bytes."""
-
-    def __init__(self, scores: dict[str, float], byte: float):
-        self.scores, self.byte = scores, byte
-
-    def forward(self, word: str) -> list[float]:
-        """log of the summed probability of all segmentations of each prefix of the marked word."""
-        s, get = START + word, self.scores.get
-        alpha = [0.0] + [-math.inf] * len(s)
-        for i in range(len(s)):
-            a = alpha[i]
-            if a == -math.inf:
-                continue
-            for j in range(i + 1, min(i + LONGEST, len(s)) + 1):
-                p = get(s[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = self.byte * len(s[i].encode("utf-8", "surrogatepass"))
-                p += a
-                b = alpha[j]
-                alpha[j] = p if b == -math.inf else p + math.log1p(math.exp(b - p)) if p > b else b + math.log1p(math.exp(p - b))
+    """Pieces with natural log scores, a column for each of several models; characters that no piece covers are spelled by
+    bytes. Words of one length go through the recursion together."""
+
+    def __init__(self, scores: dict[str, float] | list[dict[str, float]], byte: float):
+        tables = scores if isinstance(scores, list) else [scores]
+        self.ids, self.byte = {p: i for i, p in enumerate(tables[0])}, byte
+        # After the pieces: characters of 1 to 4 bytes, and no piece at all.
+        rest = [[byte * k] * len(tables) for k in range(1, 5)] + [[-math.inf] * len(tables)]
+        self.table = np.array([[t[p] for t in tables] for p in self.ids] + rest)
+
+    def edges(self, words: list[str]) -> np.ndarray:
+        """For marked words of one length: the row of the table for the piece of d + 1 characters that ends after character j."""
+        get, none, base = self.ids.get, len(self.table) - 1, len(self.ids) - 1
+        steps, pad = range(1, LONGEST + 1), "\0" * (LONGEST - 1)
+        # Pieces hold no NUL, so none starts before the word does.
+        rows = [np.fromiter((get(s[j - d : j], none) for j in range(LONGEST, len(s) + 1) for d in steps), np.int32, (len(s) - LONGEST + 1) * LONGEST) for s in (pad + START + w for w in words)]
+        found = np.stack(rows).reshape(len(words), -1, LONGEST)
+        for k, j in zip(*np.nonzero(found[:, :, 0] == none), strict=True):
+            found[k, j, 0] = base + len((START + words[k])[j].encode("utf-8", "surrogatepass"))
+        return found
+
+    def forward(self, edges: np.ndarray) -> np.ndarray:
+        """[word, LONGEST - 1 + prefix, model]: log of the summed probability of all segmentations of each prefix."""
+        n, length, _ = edges.shape
+        alpha = np.full((n, LONGEST + length, self.table.shape[1]), -math.inf)
+        alpha[:, LONGEST - 1] = 0.0
+        for j in range(length):
+            each = alpha[:, j : j + LONGEST][:, ::-1] + self.table[edges[:, j]]
+            top = each.max(axis=1, keepdims=True)
+            alpha[:, j + LONGEST] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
         return alpha
 
-    def log10(self, word: str) -> float:
-        return self.forward(word)[-1] / LN10
-
-    def expected(self, word: str, into: dict[str, float]) -> None:
-        """Adds the expected uses of each piece in the word to into."""
-        s, alpha = START + word, self.forward(word)
-        beta, total = [-math.inf] * len(s) + [0.0], alpha[-1]
-        for i in range(len(s) - 1, -1, -1):
-            for j in range(i + 1, min(i + LONGEST, len(s)) + 1):
-                p = self.scores.get(s[i:j])
-                if p is None:
-                    if j > i + 1:
-                        continue
-                    p = self.byte * len(s[i].encode("utf-8", "surrogatepass"))
-                v = p + beta[j]
-                if v == -math.inf:
-                    continue
-                beta[i] = v if beta[i] == -math.inf else max(v, beta[i]) + math.log1p(math.exp(-abs(v - beta[i])))
-                if s[i:j] in self.scores:
-                    into[s[i:j]] = into.get(s[i:j], 0.0) + math.exp(min(0.0, alpha[i] + v - total))
+    def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Positions of words of one length, and their edges."""
+        by: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by.setdefault(len(w), []).append(i)
+        for length, at in by.items():
+            step = max(1, 60_000 // (length + 1))
+            for k in range(0, len(at), step):
+                yield at[k : k + step], self.edges([words[i] for i in at[k : k + step]])
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        """[word, model]: marginal log10 probabilities."""
+        out = np.zeros((len(words), self.table.shape[1]))
+        for at, edges in self.batches(words):
+            out[at] = self.forward(edges)[:, -1] / LN10
+        return out
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """Expected uses of each piece in the words under the first model, by the forward and the backward recursion."""
+        uses, table = np.zeros(len(self.table)), self.table[:, 0]
+        for _, edges in self.batches(words):
+            n, length, _ = edges.shape
+            alpha = self.forward(edges)[:, :, 0]
+            beta = np.full((n, length + LONGEST), -math.inf)
+            beta[:, length] = 0.0
+            for i in range(length - 1, -1, -1):
+                reach = min(LONGEST, length - i)
+                steps = np.arange(reach)
+                each = table[edges[:, i + steps, steps]] + beta[:, i + 1 : i + 1 + reach]
+                top = each.max(axis=1, keepdims=True)
+                beta[:, i] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
+            for j in range(length):
+                p = alpha[:, j : j + LONGEST][:, ::-1] + table[edges[:, j]] + beta[:, j + 1, None] - alpha[:, -1, None]
+                uses += np.bincount(edges[:, j].ravel(), np.exp(np.minimum(0.0, p)).ravel(), len(table))
+        return uses[: len(self.ids)]
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -102,15 +127,12 @@ def vocabulary(path: str) -> dict[str, float]:
     return {p: math.log(0.98 * w / total) for p, w in found.items()}
 
 
-def fit(words: list[str], pieces: dict[str, float], rounds: int = ROUNDS) -> Lattice:
-    lattice = Lattice(pieces, math.log(0.02 / 256))
+def fit(words: list[str], pieces: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
+    """The pieces' scores after rounds of expectation maximisation on the words."""
     for _ in range(rounds):
-        uses: dict[str, float] = {}
-        for w in words:
-            lattice.expected(w, uses)
-        total = sum(uses.values()) + 1e-3 * len(pieces)
-        lattice = Lattice({p: math.log(0.98 * (uses.get(p, 0.0) + 1e-3) / total) for p in pieces}, lattice.byte)
-    return lattice
+        uses = Lattice(pieces, BYTE).expected(words) + 1e-3
+        pieces = dict(zip(pieces, np.log(0.98 * uses / uses.sum()).tolist(), strict=True))
+    return pieces
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -154,8 +176,8 @@ def count_words(docs: DataFrame, modulus: int, labels: list[str]) -> DataFrame:
 class Model:
     """Per class: discounted counts, backed off to those of all classes, backed off to the class's lattice."""
 
-    def __init__(self, tokens: np.ndarray, kinds: np.ndarray, n_all: int, v_all: int, discount: float, lattices: list[Lattice], docs: np.ndarray):
-        self.n, self.all, self.d, self.lattices, self.docs = tokens, n_all, discount, lattices, docs
+    def __init__(self, tokens: np.ndarray, kinds: np.ndarray, n_all: int, v_all: int, discount: float, lattice: Lattice, docs: np.ndarray):
+        self.n, self.all, self.d, self.lattice, self.docs = tokens, n_all, discount, lattice, docs
         self.free = np.where(tokens > 0, discount * kinds / np.maximum(tokens, 1), 1.0)
         self.free_all = discount * v_all / n_all if n_all else 1.0
         self.base_total = n_all + 0.1 * (v_all + 1)
@@ -172,8 +194,7 @@ class Model:
 
     def words(self, words: list[str], c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Base and per-class log10 probabilities."""
-        spelled = np.array([[lat.log10(w) for lat in self.lattices] for w in words]).reshape(len(words), len(self.lattices))
-        return np.log10((c.sum(axis=1) + 0.1) / self.base_total), self.best(c, spelled)
+        return np.log10((c.sum(axis=1) + 0.1) / self.base_total), self.best(c, self.lattice.log10(words))
 
     def end(self) -> tuple[float, np.ndarray]:
         """Base and per-class log10 probabilities of the end, which the lattice doesn't spell."""
@@ -205,9 +226,8 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame
         share = FIT_WORDS / max(1, s[f"v{c}"] or 1)
         sample = counts.filter((F.col(c) > 0) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30))).select("word") if tokens[k] else None
         lattices.append(fit(sorted(r["word"] for r in sample.toLocalIterator() if len(r["word"]) <= 64) if sample else [], pieces))
-    lattices = [lattices[k] for k in range(K) if tokens[k] or K == 1 or not tokens.any()]
     used = [k for k in range(K) if tokens[k]] or list(range(K))
-    made = Model(tokens[used], kinds[used], n, v, discount, lattices, ends[used])
+    made = Model(tokens[used], kinds[used], n, v, discount, Lattice([lattices[k] for k in used], BYTE), ends[used])
     prior = np.log10((ends[used] + 0.5) / (ends[used] + 0.5).sum())
     model = spark.sparkContext.broadcast(made)
     J = len(used)
@@ -229,29 +249,29 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values = shared.value
         get, none = index.get, np.zeros(2 + J)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.int64(), *[pa.float64()] * (1 + J)]
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                part, rows, rest = b.slice(k, 512), [], []
+                part, rows = b.slice(k, 512), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw, words = (text or "").encode("utf-8", "surrogatepass"), _words(text)
                     h = int.from_bytes(zlib.crc32(raw).to_bytes(4, "little") + zlib.adler32(raw).to_bytes(4, "little"), "little", signed=True)
-                    at = list(map(get, words))
+                    at, loose = list(map(get, words)), {}
                     if None in at:
                         loose = Counter(w for w, i in zip(words, at, strict=True) if i is None)
-                        rest += [(doc_id, h, w, c, 0, 0, *none[1:]) for w, c in loose.items()]
                         at = [i for i in at if i is not None]
                     sums = values[at].sum(axis=0) if at else none
-                    rows.append((doc_id, h, None, 0, len(words) + 1, int(sums[0]), *sums[1:]))
-                cols = list(zip(*(rows + rest), strict=True)) or [()] * (7 + J)
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + J)]
+                    rows.append((doc_id, h, list(loose), list(loose.values()), len(words) + 1, int(sums[0]), *sums[1:]))
+                cols = list(zip(*rows, strict=True)) or [()] * (7 + J)
                 arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-                arrays[2] = arrays[2].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "word", "n", "n_tokens", "n_known", "base", *bests])
-
-    parts = common.settle(docs.select("doc_id", "text").mapInArrow(split, "doc_id long, h long, word string, n long, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in bests)), "lm-parts")
-    sums = parts.filter("word IS NULL").select("doc_id", "h", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", *bests)
-    joined = parts.filter("word IS NOT NULL").select("doc_id", "h", "word", "n").join(cold, "word")
-    rest = joined.select("doc_id", "h", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("known"), F.col("n")).otherwise(0).alias("n_known"), *[(F.col("n") * F.col(x)).alias(x) for x in ("base", *bests)])
+                arrays[2] = arrays[2].cast(pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "words", "times", "n_tokens", "n_known", "base", *bests])
+
+    # A document's other words lie beside its sums, so they are written once, without an id for each.
+    parts = common.settle(docs.select("doc_id", "text").mapInArrow(split, "doc_id long, h long, words array<string>, times array<int>, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in bests)), "lm-parts")
+    sums = parts.select("doc_id", "h", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", *bests)
+    joined = parts.select("doc_id", "h", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "h", F.col("x.words").alias("word"), F.col("x.times").alias("n")).join(cold, "word")
+    rest = joined.select("doc_id", "h", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("known"), F.col("n").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_known"), *[(F.col("n") * F.col(x)).alias(x) for x in ("base", *bests)])
     got = sums.unionByName(rest).groupBy("doc_id", "h").agg(*[F.sum(x).alias(x) for x in ("copies", "n_tokens", "n_known", "base", *bests)])
     end_base, end_best = made.end()
     one = lambda c: F.col(c) / F.col("copies")

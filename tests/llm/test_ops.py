@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -249,7 +251,39 @@ def test_imatch_edges(spark, edge, empty):
 def test_lattice_sums_all_segmentations():
     pieces = {"▁": math.log(0.2), "a": math.log(0.1), "▁a": math.log(0.3), "ab": math.log(0.2), "b": math.log(0.1)}
     want = 0.2 * 0.1 * 0.1 + 0.2 * 0.2 + 0.3 * 0.1
-    assert math.isclose(10 ** lmscore.Lattice(pieces, -20.0).log10("ab"), want)
+    assert math.isclose(10 ** lmscore.Lattice(pieces, -20.0).log10(["ab"])[0, 0], want)
+
+
+@given(st.lists(st.text("abé▁\0\U0001f600", min_size=1, max_size=9), min_size=1, max_size=6))
+@settings(max_examples=30, deadline=None)
+def test_lattice_against_all_segmentations(words):
+    models = [{"▁": -1.5, "a": -2.0, "▁a": -1.0, "ab": -1.5, "b": -2.0, "aba": -2.5}, {"▁": -2.5, "a": -1.0, "▁a": -2.0, "ab": -3.5, "b": -1.0, "aba": -0.5}]
+    byte = -4.0
+
+    def ways(s, m):
+        """(probability, pieces) of each segmentation."""
+        if not s:
+            yield 1.0, ()
+        for j in range(1, len(s) + 1):
+            p = m.get(s[:j], byte * len(s[0].encode()) if j == 1 else None)
+            if p is not None:
+                yield from ((math.exp(p) * q, (s[:j], *r)) for q, r in ways(s[j:], m))
+
+    got, uses = lmscore.Lattice(models, byte).log10(words), Counter()
+    for w, row in zip(words, got, strict=True):
+        for g, m in zip(row, models, strict=True):
+            assert math.isclose(g, math.log10(sum(q for q, _ in ways("▁" + w, m))), rel_tol=1e-9)
+        total = sum(q for q, _ in ways("▁" + w, models[0]))
+        for q, r in ways("▁" + w, models[0]):
+            for piece in r:
+                uses[piece] += q / total
+    expected = lmscore.Lattice(models[0], byte).expected(words)
+    assert all(math.isclose(e, uses[p], abs_tol=1e-9) for p, e in zip(models[0], expected, strict=True))
+
+
+def test_lattice_of_a_very_long_word():
+    got = lmscore.Lattice({"▁": -1.0, "a": -2.0}, -4.0).log10(["a" * 20_000, "a"])
+    assert np.allclose(got[:, 0] * math.log(10), [-40_001.0, -3.0])
 
 
 def test_lm_score(spark, docs, edge, empty):
