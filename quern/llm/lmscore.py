@@ -38,10 +38,31 @@ FIT_WORDS, ROUNDS, LONGEST = 5_000, 4, 10
 CLASSES = 8
 START = "▁"
 LN10 = math.log(10)
+SLOT_BITS = 18
 #: log score of a byte that spells part of a character.
 BYTE = math.log(0.02 / 256)
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words of one length."""
+    return np.array(words, f"<U{len(words[0])}").view("<u4").reshape(len(words), -1)
+
+
+def _spans(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each number of characters up to most: a number for each run of so many, by where it begins."""
+    h = np.zeros(codes.shape, np.uint64)
+    out = []
+    for d in range(most):
+        h = h[:, : codes.shape[1] - d] * np.uint64(0x9E3779B97F4A7C15) + codes[:, d:].astype(np.uint64) + np.uint64(1)
+        out.append(h)
+    return out
+
+
+def _finish(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 class Lattice:
     """Pieces with natural log scores, a column for each of several models; characters that no piece covers are spelled by
     bytes. Words of one length go through the recursion together."""
@@ -52,16 +73,31 @@ class Lattice:
         # After the pieces: characters of 1 to 4 bytes, and no piece at all.
         rest = [[byte * k] * len(tables) for k in range(1, 5)] + [[-math.inf] * len(tables)]
         self.table = np.array([[t[p] for t in tables] for p in self.ids] + rest)
+        # The pieces' hashes in order, and where those begin that share their first SLOT_BITS bits.
+        h, lengths = np.zeros(len(self.ids), np.uint64), np.array([len(p) for p in self.ids])
+        for n in np.unique(lengths):
+            h[lengths == n] = _finish(_spans(_codes([p for p in self.ids if len(p) == n]), int(n))[-1])[:, 0]
+        order = np.argsort(h)
+        self.hashes, self.rows = np.append(h[order], np.zeros(64, np.uint64)), np.append(order, np.full(64, len(self.table) - 1)).astype(np.int32)
+        assert len(np.unique(h)) == len(h), "two pieces share a hash"
+        slots = (h[order] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.first = np.searchsorted(slots, np.arange(1 << SLOT_BITS)).astype(np.int32)
+        self.most = int(np.bincount(slots).max()) if len(h) else 0
 
     def edges(self, words: list[str]) -> np.ndarray:
         """For marked words of one length: the row of the table for the piece of d + 1 characters that ends after character j."""
-        get, none, base = self.ids.get, len(self.table) - 1, len(self.ids) - 1
-        steps, pad = range(1, LONGEST + 1), "\0" * (LONGEST - 1)
-        # Pieces hold no NUL, so none starts before the word does.
-        rows = [np.fromiter((get(s[j - d : j], none) for j in range(LONGEST, len(s) + 1) for d in steps), np.int32, (len(s) - LONGEST + 1) * LONGEST) for s in (pad + START + w for w in words)]
-        found = np.stack(rows).reshape(len(words), -1, LONGEST)
-        for k, j in zip(*np.nonzero(found[:, :, 0] == none), strict=True):
-            found[k, j, 0] = base + len((START + words[k])[j].encode("utf-8", "surrogatepass"))
+        codes, none = _codes([START + w for w in words]), len(self.table) - 1
+        n, length = codes.shape
+        found = np.full((n, length, LONGEST), none, np.int32)
+        for d, h in enumerate(_spans(codes, min(LONGEST, length))):
+            h = _finish(h)
+            at = self.first[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            for _ in range(self.most):
+                np.copyto(found[:, d:, d], self.rows[at], where=self.hashes[at] == h)
+                at += 1
+        spelled = found[:, :, 0] == none
+        long = len(self.ids) + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
+        found[:, :, 0] = np.where(spelled, long, found[:, :, 0])
         return found
 
     def forward(self, edges: np.ndarray) -> np.ndarray:
