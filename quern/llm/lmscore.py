@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 HOT = 50_000
-#: Words that fit the pieces' scores, rounds of fitting, longest piece in characters.
-FIT_WORDS, ROUNDS, LONGEST = 5_000, 4, 10
+#: Words that fit the pieces' scores, rounds of fitting.
+FIT_WORDS, ROUNDS = 5_000, 4
+#: Pieces of more characters are rare at any one place of a word, and are added place by place.
+DENSE = 4
 #: Classes with models of their own.
 CLASSES = 8
 START = "▁"
@@ -73,6 +75,8 @@ class Lattice:
         # After the pieces: characters of 1 to 4 bytes, and no piece at all.
         rest = [[byte * k] * len(tables) for k in range(1, 5)] + [[-math.inf] * len(tables)]
         self.table = np.array([[t[p] for t in tables] for p in self.ids] + rest)
+        # A lattice is as wide as the longest of its pieces: none is left out.
+        self.longest = max(map(len, self.ids), default=1)
         # The pieces' hashes in order, and where those begin that share their first SLOT_BITS bits.
         h, lengths = np.zeros(len(self.ids), np.uint64), np.array([len(p) for p in self.ids])
         for n in np.unique(lengths):
@@ -88,8 +92,8 @@ class Lattice:
         """For marked words of one length: the row of the table for the piece of d + 1 characters that ends after character j."""
         codes, none = _codes([START + w for w in words]), len(self.table) - 1
         n, length = codes.shape
-        found = np.full((n, length, LONGEST), none, np.int32)
-        for d, h in enumerate(_spans(codes, min(LONGEST, length))):
+        found = np.full((n, length, self.longest), none, np.int32)
+        for d, h in enumerate(_spans(codes, min(self.longest, length))):
             h = _finish(h)
             at = self.first[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
             for _ in range(self.most):
@@ -101,14 +105,19 @@ class Lattice:
         return found
 
     def forward(self, edges: np.ndarray) -> np.ndarray:
-        """[word, LONGEST - 1 + prefix, model]: log of the summed probability of all segmentations of each prefix."""
-        n, length, _ = edges.shape
-        alpha = np.full((n, LONGEST + length, self.table.shape[1]), -math.inf)
-        alpha[:, LONGEST - 1] = 0.0
+        """[word, longest - 1 + prefix, model]: log of the summed probability of all segmentations of each prefix."""
+        n, length, width = edges.shape
+        few, none = min(DENSE, width), len(self.table) - 1
+        alpha = np.full((n, width + length, self.table.shape[1]), -math.inf)
+        alpha[:, width - 1] = 0.0
         for j in range(length):
-            each = alpha[:, j : j + LONGEST][:, ::-1] + self.table[edges[:, j]]
+            each = alpha[:, j + width - few : j + width][:, ::-1] + self.table[edges[:, j, :few]]
             top = each.max(axis=1, keepdims=True)
-            alpha[:, j + LONGEST] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
+            alpha[:, j + width] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
+            for d in range(few, min(width, j + 1)):
+                w = np.flatnonzero(edges[:, j, d] != none)
+                if len(w):
+                    alpha[w, j + width] = np.logaddexp(alpha[w, j + width], alpha[w, j + width - 1 - d] + self.table[edges[w, j, d]])
         return alpha
 
     def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -134,22 +143,22 @@ class Lattice:
         for _, edges in self.batches(words):
             n, length, _ = edges.shape
             alpha = self.forward(edges)[:, :, 0]
-            beta = np.full((n, length + LONGEST), -math.inf)
+            beta = np.full((n, length + self.longest), -math.inf)
             beta[:, length] = 0.0
             for i in range(length - 1, -1, -1):
-                reach = min(LONGEST, length - i)
+                reach = min(self.longest, length - i)
                 steps = np.arange(reach)
                 each = table[edges[:, i + steps, steps]] + beta[:, i + 1 : i + 1 + reach]
                 top = each.max(axis=1, keepdims=True)
                 beta[:, i] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
             for j in range(length):
-                p = alpha[:, j : j + LONGEST][:, ::-1] + table[edges[:, j]] + beta[:, j + 1, None] - alpha[:, -1, None]
+                p = alpha[:, j : j + self.longest][:, ::-1] + table[edges[:, j]] + beta[:, j + 1, None] - alpha[:, -1, None]
                 uses += np.bincount(edges[:, j].ravel(), np.exp(np.minimum(0.0, p)).ravel(), len(table))
         return uses[: len(self.ids)]
 
 
 def vocabulary(path: str) -> dict[str, float]:
-    """Pieces of a sentencepiece model of at most LONGEST characters, with the scores the model gives them; a score is
+    """All pieces of a sentencepiece model without an inner mark, with the scores the model gives them; a score is
     minus a piece's rank, so its weight falls as the inverse of it."""
     import sentencepiece
 
@@ -157,7 +166,7 @@ def vocabulary(path: str) -> dict[str, float]:
     found = {}
     for i in range(m.vocab_size()):
         p = m.id_to_piece(i)
-        if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)) and 0 < len(p) <= LONGEST and START not in p[1:]:
+        if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)) and p and START not in p[1:]:
             found[p] = 1.0 / (100.0 - min(0.0, m.get_score(i)))
     total = sum(found.values())
     return {p: math.log(0.98 * w / total) for p, w in found.items()}

@@ -286,6 +286,19 @@ def test_lattice_of_a_very_long_word():
     assert np.allclose(got[:, 0] * math.log(10), [-40_001.0, -3.0])
 
 
+def test_vocabulary_is_whole():
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    want = {m.id_to_piece(i) for i in range(m.vocab_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    got = lmscore.vocabulary(P.path("piece_bpe_32k.model"))
+    assert set(got) == {p for p in want if p and "▁" not in p[1:]} and "▁information" in got
+    lattice = lmscore.Lattice(got, lmscore.BYTE)
+    assert lattice.longest == max(map(len, got)) > 10
+    # A word that is one piece has at least that piece's probability.
+    assert lattice.log10(["information"])[0, 0] * math.log(10) > got["▁information"]
+
+
 def test_lm_score(spark, docs, edge, empty):
     got = lmscore.score(docs, P.path("piece_bpe_32k.model")).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
