@@ -4,7 +4,8 @@ A text is its words (runs without ASCII white space, A-Z lower-cased) and an end
 write it: as a word the training texts hold, by its absolutely discounted count; and, with the mass the discounts set free, as
 any segmentation into the pieces of an existing vocabulary, whose marginal probability a forward recursion in log space
 sums over the lattice. The pieces' scores start from the vocabulary's own and are refitted by expectation
-maximisation on a bounded sample of training words.
+maximisation on all training words, each with the weight of the one discount it frees for the lattice, whatever its
+count; a round is one distributed sum of the pieces' expected uses.
 
 A text's probability is the marginal over classes of text, one for each of the commonest labels of the training documents:
 each class has its own counts, which back off to those of all, and its own scores of pieces. No label of a scored text is read.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 HOT = 50_000
-#: Words that fit the pieces' scores, rounds of fitting.
-FIT_WORDS, ROUNDS = 5_000, 4
+#: Rounds of fitting the pieces' scores.
+ROUNDS = 4
 #: Pieces of more characters are rare at any one place of a word, and are added place by place.
 DENSE = 4
 #: Classes with models of their own.
@@ -86,6 +87,8 @@ class Lattice:
         assert len(np.unique(h)) == len(h), "two pieces share a hash"
         slots = (h[order] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         self.first = np.searchsorted(slots, np.arange(1 << SLOT_BITS)).astype(np.int32)
+        self.filled = np.zeros(1 << SLOT_BITS, bool)
+        self.filled[slots] = True
         self.most = int(np.bincount(slots).max()) if len(h) else 0
 
     def edges(self, words: list[str]) -> np.ndarray:
@@ -95,29 +98,34 @@ class Lattice:
         found = np.full((n, length, self.longest), none, np.int32)
         for d, h in enumerate(_spans(codes, min(self.longest, length))):
             h = _finish(h)
-            at = self.first[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            i, j = np.nonzero(self.filled[slot])
+            h, at, row = h[i, j], self.first[slot[i, j]], np.full(len(i), none, np.int32)
             for _ in range(self.most):
-                np.copyto(found[:, d:, d], self.rows[at], where=self.hashes[at] == h)
+                np.copyto(row, self.rows[at], where=self.hashes[at] == h)
                 at += 1
+            found[i, j + d, d] = row
         spelled = found[:, :, 0] == none
         long = len(self.ids) + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
         found[:, :, 0] = np.where(spelled, long, found[:, :, 0])
         return found
 
-    def forward(self, edges: np.ndarray) -> np.ndarray:
-        """[word, longest - 1 + prefix, model]: log of the summed probability of all segmentations of each prefix."""
+    def forward(self, edges: np.ndarray, only: int | None = None) -> np.ndarray:
+        """[word, longest - 1 + prefix, model]: log of the summed probability of all segmentations of each prefix; of one
+        model, if only that is asked for."""
         n, length, width = edges.shape
         few, none = min(DENSE, width), len(self.table) - 1
-        alpha = np.full((n, width + length, self.table.shape[1]), -math.inf)
+        table = self.table if only is None else np.ascontiguousarray(self.table[:, only : only + 1])
+        alpha = np.full((n, width + length, table.shape[1]), -math.inf)
         alpha[:, width - 1] = 0.0
         for j in range(length):
-            each = alpha[:, j + width - few : j + width][:, ::-1] + self.table[edges[:, j, :few]]
+            each = alpha[:, j + width - few : j + width][:, ::-1] + table[edges[:, j, :few]]
             top = each.max(axis=1, keepdims=True)
             alpha[:, j + width] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
             for d in range(few, min(width, j + 1)):
                 w = np.flatnonzero(edges[:, j, d] != none)
                 if len(w):
-                    alpha[w, j + width] = np.logaddexp(alpha[w, j + width], alpha[w, j + width - 1 - d] + self.table[edges[w, j, d]])
+                    alpha[w, j + width] = np.logaddexp(alpha[w, j + width], alpha[w, j + width - 1 - d] + table[edges[w, j, d]])
         return alpha
 
     def batches(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
@@ -137,24 +145,43 @@ class Lattice:
             out[at] = self.forward(edges)[:, -1] / LN10
         return out
 
-    def expected(self, words: list[str]) -> np.ndarray:
-        """Expected uses of each piece in the words under the first model, by the forward and the backward recursion."""
-        uses, table = np.zeros(len(self.table)), self.table[:, 0]
-        for _, edges in self.batches(words):
-            n, length, _ = edges.shape
-            alpha = self.forward(edges)[:, :, 0]
-            beta = np.full((n, length + self.longest), -math.inf)
-            beta[:, length] = 0.0
-            for i in range(length - 1, -1, -1):
-                reach = min(self.longest, length - i)
-                steps = np.arange(reach)
-                each = table[edges[:, i + steps, steps]] + beta[:, i + 1 : i + 1 + reach]
-                top = each.max(axis=1, keepdims=True)
-                beta[:, i] = top[:, 0] + np.log(np.exp(each - top).sum(axis=1))
-            for j in range(length):
-                p = alpha[:, j : j + self.longest][:, ::-1] + table[edges[:, j]] + beta[:, j + 1, None] - alpha[:, -1, None]
-                uses += np.bincount(edges[:, j].ravel(), np.exp(np.minimum(0.0, p)).ravel(), len(table))
-        return uses[: len(self.ids)]
+    def uses(self, edges: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
+        """Expected uses of each row of the table in weighted words of one length under model k, by the forward and the
+        backward recursion."""
+        n, length, width = edges.shape
+        few, none, table = min(DENSE, width), len(self.table) - 1, np.ascontiguousarray(self.table[:, k])
+        alpha = self.forward(edges, k)[:, width - 1 :, 0]
+        beta = np.full((n, length + width), -math.inf)
+        beta[:, length] = 0.0
+        for i in range(length - 1, -1, -1):
+            steps = np.arange(min(few, length - i))
+            each = table[edges[:, i + steps, steps]] + beta[:, i + 1 : i + 1 + len(steps)]
+            top = each.max(axis=1, keepdims=True)
+            with np.errstate(invalid="ignore"):
+                beta[:, i] = np.where(np.isfinite(top[:, 0]), top[:, 0] + np.log(np.exp(each - top).sum(axis=1)), -math.inf)
+            for d in range(few, min(width, length - i)):
+                w = np.flatnonzero(edges[:, i + d, d] != none)
+                if len(w):
+                    beta[w, i] = np.logaddexp(beta[w, i], table[edges[w, i + d, d]] + beta[w, i + d + 1])
+        out = np.zeros(len(self.table))
+        for d in range(min(width, length)):
+            w, i = np.nonzero(edges[:, d:, d] != none)
+            row = edges[w, i + d, d]
+            p = alpha[w, i] + table[row] + beta[w, i + d + 1] - alpha[w, length]
+            out += np.bincount(row, weights[w] * np.exp(np.minimum(0.0, p)), len(out))
+        return out
+
+    def expected(self, words: list[str], weights: np.ndarray | None = None) -> np.ndarray:
+        """Expected uses of each piece in the words under the first model; or, with weights [word, model], [piece, model]."""
+        by = np.ones((len(words), 1)) if weights is None else weights
+        out = np.zeros((len(self.table), by.shape[1]))
+        for at, edges in self.batches(words):
+            some = by[at]
+            for k in range(by.shape[1]):
+                mine = np.flatnonzero(some[:, k])
+                if len(mine):
+                    out[:, k] += self.uses(edges[mine], k, some[mine, k])
+        return out[: len(self.ids), 0] if weights is None else out[: len(self.ids)]
 
 
 def vocabulary(path: str) -> dict[str, float]:
@@ -172,12 +199,30 @@ def vocabulary(path: str) -> dict[str, float]:
     return {p: math.log(0.98 * w / total) for p, w in found.items()}
 
 
-def fit(words: list[str], pieces: dict[str, float], rounds: int = ROUNDS) -> dict[str, float]:
-    """The pieces' scores after rounds of expectation maximisation on the words."""
-    for _ in range(rounds):
-        uses = Lattice(pieces, BYTE).expected(words) + 1e-3
-        pieces = dict(zip(pieces, np.log(0.98 * uses / uses.sum()).tolist(), strict=True))
-    return pieces
+def fit(weights: DataFrame, classes: list[str], pieces: dict[str, float], rounds: int = ROUNDS) -> list[dict[str, float]]:
+    """For each class, a column of weights(word, ...): the pieces' scores after rounds of expectation maximisation on all
+    words with such a weight. A round's result has a row for each piece that is used at all."""
+    names, sc = list(pieces), weights.sparkSession.sparkContext
+    tables = [pieces] * len(classes)
+    uses = [f"u{j}" for j in range(len(classes))]
+    for _ in range(rounds if classes else 0):
+        shared = sc.broadcast(Lattice(tables, BYTE))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(names), len(classes)))
+            for b in batches:
+                by = np.stack([b.column(1 + j).to_numpy() for j in range(len(classes))], axis=1).astype(float)
+                total += shared.value.expected(b.column(0).to_pylist(), by)
+            some = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(np.ascontiguousarray(total[some, j])) for j in range(len(classes)))], names=["piece", *uses])
+
+        got = weights.filter(sum((F.col(c) for c in classes[1:]), F.col(classes[0])) > 0).select("word", *classes).mapInArrow(run, "piece long, " + ", ".join(f"{x} double" for x in uses))
+        got = got.groupBy("piece").agg(*[F.sum(x).alias(x) for x in uses]).toArrow()
+        total = np.full((len(names), len(classes)), 1e-3)
+        total[got.column("piece").to_numpy()] += np.stack([got.column(x).to_numpy() for x in uses], axis=1)
+        tables = [dict(zip(names, t.tolist(), strict=True)) for t in np.log(0.98 * total / total.sum(axis=0)).T]
+        shared.unpersist()
+    return tables
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -266,13 +311,10 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame
     n, v = int(tokens.sum()), (s["v"] or 0) + int(ends.sum() > 0)
     discount = min(0.95, max(0.1, s["once"] / (s["once"] + 2 * s["twice"]))) if s["once"] else 0.5
     pieces = vocabulary(vocabulary_path)
-    lattices = []
-    for k, c in enumerate(cs):
-        share = FIT_WORDS / max(1, s[f"v{c}"] or 1)
-        sample = counts.filter((F.col(c) > 0) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < share * (1 << 30))).select("word") if tokens[k] else None
-        lattices.append(fit(sorted(r["word"] for r in sample.toLocalIterator() if len(r["word"]) <= 64) if sample else [], pieces))
     used = [k for k in range(K) if tokens[k]] or list(range(K))
-    made = Model(tokens[used], kinds[used], n, v, discount, Lattice([lattices[k] for k in used], BYTE), ends[used])
+    types = counts.select("word", *[(F.col(cs[k]) > 0).cast("long").alias(cs[k]) for k in used])
+    lattices = fit(types, [cs[k] for k in used], pieces)
+    made = Model(tokens[used], kinds[used], n, v, discount, Lattice(lattices, BYTE), ends[used])
     prior = np.log10((ends[used] + 0.5) / (ends[used] + 0.5).sum())
     model = spark.sparkContext.broadcast(made)
     J = len(used)

@@ -299,6 +299,21 @@ def test_vocabulary_is_whole():
     assert lattice.log10(["information"])[0, 0] * math.log(10) > got["▁information"]
 
 
+def test_pieces_are_fitted_on_all_words(spark):
+    # More types than the sample that once fitted them, and one longer than it took.
+    words = [f"w{i}x" for i in range(12_000)] + ["q" * 70]
+    counts = spark.createDataFrame([(w, 1 + i % 3, i % 2) for i, w in enumerate(words)], "word string, c0 long, c1 long").repartition(3)
+    pieces = {p: -3.0 for p in ["▁w", "▁", "q", "qq", "x", *"0123456789", *(f"{i}{j}x" for i in range(10) for j in range(10))]}
+    got = lmscore.fit(counts, ["c0", "c1"], pieces, rounds=1)
+    for k, weight in enumerate((lambda i: 1 + i % 3, lambda i: i % 2)):
+        uses, lattice = np.full(len(pieces), 1e-3), lmscore.Lattice(pieces, lmscore.BYTE)
+        for w in range(6):  # words of one weight
+            uses += weight(w) * lattice.expected([x for i, x in enumerate(words) if i % 6 == w])
+        want = np.log(0.98 * uses / uses.sum())
+        assert np.allclose([got[k][p] for p in pieces], want)
+    assert got[0]["q"] > -12
+
+
 def test_lm_score(spark, docs, edge, empty):
     got = lmscore.score(docs, P.path("piece_bpe_32k.model")).collect()
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
