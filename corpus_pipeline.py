@@ -18,19 +18,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least doc_id. Rows of one doc_id are one document here."""
-    classes = simjoin.join(docs)
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    keep = common.settle(keep, "pipeline-keep").withColumnRenamed("doc_id", "keep_id")
-    got = docs.join(common.small(keep), F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return got.dropDuplicates(["doc_id"])
+    """One document of each class of near duplicates: one with the least doc_id, of these one with the least set. Ids don't
+    matter otherwise: rows of one id, or without an id, stay if their texts differ."""
+    _, sets = simjoin.classes(docs)
+    least = F.struct(F.col("least").isNull(), F.col("least"), F.col("rid"))
+    keep = sets.groupBy("root").agg(F.min(least).alias("k")).select(F.col("k.rid").alias("keep_rid"), F.col("k.least").alias("keep_id"))
+    keep = common.settle(keep, "pipeline-keep")
+    got = docs.withColumn("_rid", simjoin.set_id(F.col("text")))
+    got = got.join(common.small(keep), (F.col("_rid") == F.col("keep_rid")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return got.dropDuplicates(["_rid"]).drop("_rid")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; copies are rows of the same doc_id."""
-    copies = mixing.mix(docs.select("doc_id", "text", "source")).select(F.col("doc_id").alias("mix_id"), "copies").filter("copies > 0")
+    # Ids may be null or repeat: the mix gives all rows equal in id, text and source one fate, and they are told by hash.
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), "source", F.col("source").isNull())
+    keyed = docs.withColumn("_key", key)
+    copies = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).filter("copies > 0")
+    copies = copies.groupBy(F.col("doc_id").alias("mix_key")).agg(F.max("copies").alias("copies"))
     copies = common.settle(copies, "pipeline-copies")
-    got = docs.join(common.small(copies), F.col("doc_id").eqNullSafe(F.col("mix_id")))
+    got = keyed.join(common.small(copies), F.col("_key") == F.col("mix_key"))
     return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

@@ -21,8 +21,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -101,6 +102,10 @@ def chosen(tokens: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _rid(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def represent(docs: DataFrame) -> DataFrame:
     """doc_id, rid (of the shingle set), n (its size), tokens (the set's 32-bit hashes, sorted), sketch, nodes."""
 
@@ -110,7 +115,7 @@ def represent(docs: DataFrame) -> DataFrame:
                 s, rows = b.slice(i, 256), []
                 for doc_id, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
                     t = shingles(text)
-                    rid = int.from_bytes(hashlib.blake2b(t.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    rid = _rid(t)
                     short = np.unique((t >> np.uint64(32)).astype("<u4"))
                     rows.append((doc_id, rid, len(short), short.tobytes(), sketch(t).tobytes() if len(t) else b"", [x for _, x in chosen(t)]))
                 cols = list(zip(*rows, strict=True))
@@ -301,27 +306,44 @@ def _verify(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "rid long, root long, links long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (documents at THRESHOLD or more) for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+def set_id(text: Column) -> Column:
+    """The rid of a text."""
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([_rid(shingles(t)) for t in texts], dtype="int64")
+
+    return of(text)
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each row of docs(doc_id, text): doc_id, rid; and for each set: rid, least (its least doc_id, null if all are), root
+    (one rid of its class), n_links."""
     rows = common.settle(represent(docs), "join-rows")
     copies = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
     copies = common.settle(copies, "join-copies")
-    # One row of each set: the one with the least id, of rows equal in id and set any.
-    reps = rows.filter("n > 0").join(copies.select("rid", F.col("least").alias("doc_id")), ["rid", "doc_id"]).select("rid", "sketch", "nodes").dropDuplicates(["rid"])
+    # One row of each set: the one with the least id, of rows equal in id and set any. A set may have null ids alone.
+    first = copies.select(F.col("rid").alias("r"), "least")
+    reps = rows.filter("n > 0").join(first, (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("rid", "sketch", "nodes").dropDuplicates(["rid"])
     tied = common.settle(candidates(common.settle(reps, "join-reps")), "join-links")
     group = common.settle(components(tied).join(copies.select(F.col("rid").alias("node"), "copies", "least", "n"), "node").withColumnRenamed("node", "rid"), "join-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     sizes = sizes.select("root", F.greatest(F.col("rows"), F.ceil(F.col("items") * BLOCK / BLOCK_ITEMS)).alias("size"))
-    member = group.join(rows.select("rid", "doc_id", "tokens"), [group["rid"] == rows["rid"], group["least"] == rows["doc_id"]]).select(group["rid"], "root", "copies", "tokens").dropDuplicates(["rid"])
+    member = group.join(rows.select("rid", "doc_id", "tokens"), [group["rid"] == rows["rid"], group["least"].eqNullSafe(rows["doc_id"])]).select(group["rid"], "root", "copies", "tokens").dropDuplicates(["rid"])
     checked = common.settle(_verify(_blocked(member, "root", sizes, BLOCK)), "join-checked")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(checked.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     c = copies.join(links, "rid", "left").join(final.withColumnRenamed("node", "rid"), "rid", "left")
     c = common.settle(c.select("rid", F.coalesce("root", "rid").alias("root"), "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-classes")
+    return rows.select("doc_id", "rid"), c
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (the least doc_id of its class), n_links (documents at THRESHOLD or more) for each row of docs(doc_id, text)."""
+    rows, c = classes(docs)
     ids = c.groupBy("root").agg(F.min("least").alias("class_id"))
     c = c.join(ids, "root").select("rid", "class_id", "n_links")
-    return rows.select("doc_id", "rid").join(c, "rid").select("doc_id", "class_id", "n_links")
+    return rows.join(c, "rid").select("doc_id", "class_id", "n_links")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

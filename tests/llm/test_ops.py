@@ -133,6 +133,28 @@ def test_jaccard_join_of_one_large_group(spark):
     assert sorted((tuple(r) for r in simjoin.join(df).collect()), key=repr) == brute(df)
 
 
+def _odd_ids(spark):
+    """Near duplicates under null ids; different texts under one id and under none; copies of a row."""
+    text = lambda p, x=0: " ".join([*(f"{p}{i}" for i in range(80)), f"x{x}"])
+    rows = [(None, text("a", 0)), (None, text("a", 1)), (None, text("b")), (5, text("c", 0)), (5, text("d")), (6, text("c", 1)), (5, text("e")), (5, text("e")), (None, text("b"))]
+    return spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+
+
+def test_jaccard_join_of_null_ids(spark):
+    df = _odd_ids(spark)
+    assert sorted((tuple(r) for r in simjoin.join(df).collect()), key=repr) == brute(df)
+
+
+def test_pipeline_keeps_rows_of_odd_ids(spark, data):
+    import corpus_pipeline as cp
+
+    out = common.settle(cp.drop_near_duplicates(spark, _odd_ids(spark), data), "test-odd")
+    got = sorted((r["doc_id"] or 0, r["text"][0]) for r in out.collect())
+    assert got == [(0, "a"), (0, "b"), (5, "c"), (5, "d"), (5, "e")]
+    mixed = Counter((r["doc_id"], r["text"]) for r in cp.mix_sources(spark, out, data).collect())
+    assert set(mixed.values()) <= {1, 2} and 1 <= len(mixed) <= 5
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
