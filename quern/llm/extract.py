@@ -26,43 +26,66 @@ HINTS = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript noembed noframes iframe xmp template svg math".split())
+RAW = frozenset("script style textarea title noembed noframes iframe xmp".split())
+#: Elements in which a tag that ends in /> has no content.
+FOREIGN = frozenset(("svg", "math"))
 #: Elements that a new element of the kind closes, if open nearer than the stop.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 BOILER_TAGS = frozenset("nav footer aside form menu button select dialog fieldset search".split())
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices gdpr alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond replies reply widget toolbar pagination pager copyright legal disclaimer search contentinfo complementary dialog hidden".split())
 CONTENT_WORDS = frozenset("article articlebody content post entry story main body".split())
+#: First words of a class that say what a page or wrapper has, not what it is.
+STATES = frozenset("has with no without is not show hide js can".split())
 FIRM = 20.0
+#: Evidence of boilerplate, in log odds: a class or id that is a boilerplate word, and an article or a fallback within such.
+WHOLE, PARTLY = -6.0, -2.0
 NEAR, SIBLING = 0.25, 0.5
 
 
 class Block:
-    __slots__ = ("text", "label", "parent", "linked")
+    __slots__ = ("text", "label", "parent", "linked", "lean")
 
-    def __init__(self, text: str, label: int, parent: int, linked: int):
-        self.text, self.label, self.parent, self.linked = text, label, parent, linked
+    def __init__(self, text: str, label: int, parent: int, linked: int, lean: float = 0.0):
+        self.text, self.label, self.parent, self.linked, self.lean = text, label, parent, linked, lean
 
 
-def _label(tag: str, attrs: str, above: int, in_article: bool) -> int:
-    """1 content, -1 boilerplate, 0 unknown: what the element says of itself, or else what stands above."""
+def _label(tag: str, attrs: str, above: int, in_article: bool, lean: float) -> tuple[int, float]:
+    """1 content, -1 boilerplate, 0 unknown: what the element says of itself, or else what stands above; and the log odds
+    that class words add where that is 0. Words never settle a block, the cut weighs them."""
     if tag in BOILER_TAGS or tag == "header" and not in_article:
-        return -1
+        return -1, 0.0
     words: set[str] = set()
+    own, body = 0.0, False
     for name, value in HINTS.findall(attrs) if attrs else ():
-        if name.lower() in ("hidden",) or name.lower() == "aria-hidden" and "true" in value:
-            words.add("hidden")
-        words.update(re.split(r"[^a-z0-9]+", value.lower()))
-    if tag not in ("html", "body", "article", "main") and words & BOILER_WORDS or "header" in words and not in_article and tag != "article":
-        return -1
-    if above >= 0 and (tag in ("article", "main") or words & CONTENT_WORDS and tag not in ("html", "body", "a", "span")):
-        return 1
-    return above
+        if name.lower() == "hidden" or name.lower() == "aria-hidden" and "true" in value:
+            return -1, 0.0
+        body |= name.lower() == "itemprop" and "articlebody" in value.lower()
+        for token in value.lower().strip("\"'").split():
+            parts = [p for p in re.split(r"[^a-z0-9]+", token) if p]
+            words.update(parts)
+            if parts and not (len(parts) > 1 and parts[0] in STATES):
+                own = min(own, WHOLE * sum(p in BOILER_WORDS or p == "header" and not in_article for p in parts) / len(parts))
+    if tag in ("html", "body", "article", "main") and "comment" not in words:
+        own = 0.0
+    if above < 0:
+        return above, 0.0
+    if own < 0:
+        return 0, min(own, lean)
+    if tag == "main" or body:
+        return 1, 0.0
+    if tag == "article":
+        return (1, 0.0) if lean > WHOLE else (0, PARTLY)
+    if tag in ("noscript", "template") and not in_article:
+        return 0, min(PARTLY, lean)
+    if lean == 0 and words & CONTENT_WORDS and tag not in ("html", "body", "a", "span"):
+        return 1, 0.0
+    return above, lean
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order. Text is whole: references decoded, white space single, ends trimmed."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, label, node, in an article
+    stack: list[tuple[str, int, int, bool, float]] = [("", 0, 0, False, 0.0)]  # tag, label, node, in an article, lean
     buffer: list[str] = []
     linked, nodes, links, at, end = 0, 0, 0, 0, len(html)
 
@@ -72,7 +95,7 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
                 holder = next((s for s in reversed(stack) if s[0] in BLOCKS or not s[0]), stack[0])
-                out.append(Block(text, stack[-1][1], holder[2] if holder[0] in ("ul", "ol", "div", "section", "article", "") or len(stack) < 2 else stack[max(0, stack.index(holder) - 1)][2], linked))
+                out.append(Block(text, stack[-1][1], holder[2] if holder[0] in ("ul", "ol", "div", "section", "article", "") or len(stack) < 2 else stack[max(0, stack.index(holder) - 1)][2], linked, stack[-1][4]))
             buffer.clear()
         linked = 0
 
@@ -129,9 +152,12 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID:
             buffer.append(" " if tag in ("br", "img", "wbr") and tag != "wbr" else "")
             continue
+        if token.endswith("/>") and (tag in FOREIGN or any(s[0] in FOREIGN for s in stack)):
+            continue
         nodes += 1
         above = stack[-1]
-        stack.append((tag, _label(tag, token[name.end() :], above[1], above[3]), nodes, above[3] or tag in ("article", "main")))
+        label, lean = _label(tag, token[name.end() :], above[1], above[3], above[4])
+        stack.append((tag, label, nodes, above[3] or tag in ("article", "main"), lean))
         links += tag == "a"
     flush()
     return out
@@ -142,7 +168,7 @@ def costs(b: Block) -> tuple[float, float]:
     if b.label:
         return (0.0, FIRM) if b.label > 0 else (FIRM, 0.0)
     words = b.text.count(" ") + 1
-    z = -1.5 + 0.08 * min(words, 60) + 1.2 * (b.text[-1] in ".!?\"'”»…") - 4.0 * min(1.0, b.linked / max(1, len(b.text)))
+    z = -1.5 + 0.08 * min(words, 60) + 1.2 * (b.text[-1] in ".!?\"'”»…") - 4.0 * min(1.0, b.linked / max(1, len(b.text))) + b.lean
     return math.log1p(math.exp(-z)), math.log1p(math.exp(z))
 
 

@@ -250,6 +250,18 @@ def test_extract(spark):
     assert [r["n_chars"] for r in extract.extract(df).orderBy("page_id").collect()] == [0, 0, 30]
 
 
+@pytest.mark.parametrize("wrap", ["<div class='page has-sidebar'>", "<div id='main' class='with-nav'>", "<div class='site-menu'>"])
+def test_extract_in_a_wrapper_of_boilerplate_words(wrap):
+    page = f"{wrap}<nav>Home</nav><article><h1>Head</h1><p>One <math><mi>x</mi></math> two.</p><noscript><p>Plain.</p></noscript></article><div class='sidebar'>links</div></div>"
+    assert extract.main_text(page) == "Head\nOne x two.\nPlain."
+
+
+def test_extract_lets_the_cut_outvote_a_class_word():
+    long = "This is a long paragraph of true content which has many words, and it ends well. " * 3
+    page = f"<div><p>{long}</p><p class='post-notice'>{long}</p><p>{long}</p><p class='ad'>Buy</p></div>"
+    assert extract.main_text(page).count("\n") == 2 and "Buy" not in extract.main_text(page)
+
+
 def test_minimum_cut_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
