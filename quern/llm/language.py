@@ -168,10 +168,13 @@ class Calibration:
     def __init__(self, langs: list[str], held: list[tuple[str, str]], models: Models):
         e, n = Identifier(models).entropies([t for _, t in held]) if held else (np.zeros((0, len(langs))), np.zeros(0))
         truth = np.array([langs.index(x) for x, _ in held], int)
+        # A language with few calibration documents takes those of all languages, each under its own model.
+        pooled = e[np.arange(len(e)), truth][n >= 40]
         self.mean, self.spread = np.full(len(langs), np.inf), np.zeros(len(langs))
         for j in range(len(langs)):
             own = e[(truth == j) & (n >= 40), j]
-            if len(own) >= 5:
+            own = own if len(own) >= 5 else pooled
+            if len(own):
                 self.mean[j], self.spread[j] = own.mean(), max(own.std(), 0.02)
         best = (math.inf, 8.0)
         for t in (2.0, 4.0, 8.0, 16.0, 32.0):

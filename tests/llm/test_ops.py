@@ -205,6 +205,16 @@ def test_language(spark, docs, edge, empty):
     assert {r["lang_pred"] for r in language.identify(edge, F.lit(False)).collect()} == {"und"}
 
 
+def test_rejection_for_a_language_with_few_documents():
+    words = {"de": "der die das und nicht eine haus wasser berg", "en": "the and not water house mountain every with", "fr": "le la les une maison eau montagne avec"}
+    m = language.Models(sorted(words), [(words[x].split(), np.full(len(words[x].split()), 50)) for x in sorted(words)], 4)
+    held = [(x, (words[x] + " ") * 2) for x in ("de", "en") for _ in range(6)] + [("fr", (words["fr"] + " ") * 2)]
+    c = language.Calibration(sorted(words), held, m)
+    assert np.isfinite(c.mean).all()
+    e, n = language.Identifier(m).entropies(["qzx jjk vvwq xkcd zzzq pqpq wxyz kkjq " * 100, words["fr"] * 2])
+    assert c.beyond(np.array([2, 2]), e[:, 2], n).tolist() == [True, False]
+
+
 def test_kneser_ney_sums_to_one():
     m = language.Models(["x"], [(["ab", "abc", "ba"], np.array([3, 1, 2]))], order=3)
     one = [m.word_sums([w])[0, 0] for w in ("", "a", "b", "c", "ab", "abc", "zz")]
