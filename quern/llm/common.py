@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest table, in bytes as written, that is broadcast; larger ones are joined by shuffle.
+#: Largest table, in bytes as rows in memory, that is broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
 #: The class of white space that ends a word: blank and the controls 9 to 13.
@@ -17,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder, but only if one
+    machine runs everything, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,21 +32,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; for a settled table, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast, given only when the settled table's size is within BROADCAST_BYTES."""
-    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES else df
+def settle(df: DataFrame, name: str, **watch: Column) -> DataFrame:
+    """Writes df to the shared folder and rereads it: lineage ends there, and a lost executor costs no recomputation. The
+    rows and the bytes of their strings are counted on the way, for small(); so are the aggregates to watch, for the caller."""
+    path, seen = scratch(df.sparkSession, name), Observation()
+    texts = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind in ("string", "binary")]
+    heavy = sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(0).cast("long"))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(heavy).alias("bytes"), *[x.alias(k) for k, x in watch.items()]).write.option("compression", "zstd").parquet(path)
+    out, got = df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+    flat = all(kind in ("string", "binary") or "<" not in kind for _, kind in df.dtypes)
+    out._settled = (path, (16 + 16 * len(df.columns)) * got["rows"] + (got["bytes"] or 0) if flat else None)
+    out._watched = got
+    return out
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A settled table under other column names."""
+    out = df.withColumnsRenamed(names)
+    out._settled = df._settled
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a settled table that nothing reads any more: what was made from it must be settled itself."""
+    path = df._settled[0]
+    jvm = df.sparkSession.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df with a hint to broadcast, if it, or the settled table whose projection it is, was measured to be within
+    BROADCAST_BYTES as rows in memory. Tables with nested columns are never broadcast."""
+    size = (df if of is None else of)._settled[1]
+    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
