@@ -6,12 +6,16 @@ maximum of a concave dual, found by Newton steps whose gradient and curvature ar
 one source and size have one rate, so the sums run over a table of (source, size) counts. The rates are then rounded to
 whole copies: the whole part is taken, and the fraction by order sampling, where documents with the smallest
 hash / fraction get one more copy until the source's words reach its target. The cut is found by counting words in
-bins of that score, refined three times, so no source is sorted or gathered. What is then left of the target is filled
-by further draws among documents of at most a quarter of the rest.
+bins of that score, refined once, so no source is sorted or gathered. What is then left of the target is filled
+by further draws among documents of at most a part of the rest.
 
-Defined cases: a null text has size 0 and gets no copy; a null source is a source of its own, last in order; rows that
-repeat an id and a text share one fate; a source without words has target 0; an empty table gives no rows; further
-columns are ignored.
+All that a document's copies depend on is its size, its uniform number and one row of state for its source (multiplier and cuts).
+So each pass is a scan of the sizes joined to the state, and the texts themselves meet the state once, in mixed().
+
+Defined cases: a null text has size 0 and gets no copy; a very long text is one document like any other; a null source is a source of
+its own, last in order; rows that repeat an id and a text share one fate; documents of equal score fall on the same side of a cut; a source
+without words has target 0; an empty table gives no rows; further columns are ignored, and columns whose names begin with `_mix` are not
+allowed in mixed(). A target whose multiplier isn't found in NEWTON_STEPS steps raises an error.
 """
 
 from __future__ import annotations
@@ -21,17 +25,26 @@ from pyspark.sql import functions as F
 
 from quern.llm import common
 
-NEWTON_STEPS = 40
-BINS = 256
+NEWTON_STEPS = 100
+BINS = 1024
 TOLERANCE = 1e-4
-#: Draws after the first, each over documents of at most a quarter of what is left.
-FILLS = 3
+#: Draws after the first: each goes over documents of at most the n-th part of what is left.
+FILLS = (4, 4, 2, 1)
+
+
+def _size() -> Column:
+    """The words of a text."""
+    return F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+
+
+def _uniform() -> Column:
+    """A uniform number in (0, 1) that depends on id and text alone."""
+    return (F.xxhash64(F.lit("mix"), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, u: the words of each text and a uniform number that depends on id and text alone."""
-    u = (F.xxhash64(F.lit("mix"), "doc_id", "text").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), u.alias("u"))
+    """source, size, u of each document."""
+    return docs.select("source", _size().alias("size"), _uniform().alias("u"))
 
 
 def targets(per_source: DataFrame, weights: tuple[float, ...], budget: float, limit: float) -> DataFrame:
@@ -58,20 +71,20 @@ def rate(lam: Column, size: Column, scale: Column, limit: float) -> Column:
     return F.lit(limit) / (1 + F.exp(-F.greatest(F.least(lam * size / scale, F.lit(700.0)), F.lit(-700.0))))
 
 
-def _dual(docs: DataFrame, state: DataFrame, limit: float) -> DataFrame:
-    """Adds lam to the per-source state by guarded Newton steps; each step is one distributed sum."""
-    hist = common.settle(docs.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
-    spark = docs.sparkSession
-    state = state.withColumn("scale", F.greatest(F.lit(1.0), F.col("source_size") / F.greatest(F.col("n_docs"), F.lit(1)))).withColumns({"lam": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(1e6), "err": F.lit(1.0)})
+def _dual(known: DataFrame, state: DataFrame, limit: float) -> DataFrame:
+    """s, source_size, target, scale, lam: the per-source state after guarded Newton steps; each step is one distributed sum."""
+    hist = common.settle(known.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mix-hist")
+    scale = F.greatest(F.lit(1.0), F.col("source_size") / F.greatest(F.col("n_docs"), F.lit(1)))
+    state = state.select("s", "source_size", "target", scale.alias("scale"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(1.0).alias("err"))
     state = common.settle(state, "mix-state")
     for _ in range(NEWTON_STEPS):
         # null-safe: the null source is balanced like any other.
-        at = hist.withColumnRenamed("source", "h").join(common.small(state), F.col("h").eqNullSafe(F.col("source")))
+        at = hist.join(common.small(state), F.col("source").eqNullSafe(F.col("s")))
         r = rate(F.col("lam"), F.col("size"), F.col("scale"), limit)
-        sums = at.groupBy("h").agg(F.sum(F.col("n") * F.col("size") * r).alias("have"), F.sum(F.col("n") * F.col("size") * F.col("size") * r * (1 - r / limit) / F.col("scale")).alias("bend"))
-        j = state.join(sums, F.col("h").eqNullSafe(F.col("source")), "left").drop("h").fillna(0.0, ["have", "bend"])
+        sums = at.groupBy(F.col("s").alias("h")).agg(F.sum(F.col("n") * F.col("size") * r).alias("have"), F.sum(F.col("n") * F.col("size") * F.col("size") * r * (1 - r / limit) / F.col("scale")).alias("bend"))
+        j = state.join(sums, F.col("h").eqNullSafe(F.col("s")), "left").drop("h").fillna(0.0, ["have", "bend"])
         gap = F.col("target") - F.col("have")
-        j = j.withColumn("lo", F.when(gap > 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap <= 0, F.col("lam")).otherwise(F.col("hi")))
+        j = j.withColumns({"lo": F.when(gap > 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(gap <= 0, F.col("lam")).otherwise(F.col("hi"))})
         step = F.col("lam") + gap / F.greatest(F.col("bend"), F.lit(1e-12))
         inside = (step > F.col("lo")) & (step < F.col("hi")) & (F.abs(step - F.col("lam")) <= 4 + 4 * F.abs(F.col("lam")))
         bounded = F.greatest(F.least(step, F.col("lam") + 4 + 4 * F.abs(F.col("lam"))), F.col("lam") - 4 - 4 * F.abs(F.col("lam")))
@@ -80,61 +93,77 @@ def _dual(docs: DataFrame, state: DataFrame, limit: float) -> DataFrame:
         err = F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))
         # A target at the limit has no finite multiplier: its rates are the limit itself.
         full = F.col("target") >= F.col("source_size") * limit
-        state = common.settle(j.select("source", "source_size", "n_docs", "target", "scale", F.when(err < TOLERANCE, F.col("lam")).otherwise(new).alias("lam"), "lo", "hi", F.when(full, F.lit(0.0)).otherwise(err).alias("err")), "mix-state")
-        worst = state.agg(F.max("err")).first()[0]
+        last, state = state, common.settle(j.select("s", "source_size", "target", "scale", F.when(err < TOLERANCE, F.col("lam")).otherwise(new).alias("lam"), "lo", "hi", F.when(full, F.lit(0.0)).otherwise(err).alias("err")), "mix-state", worst=F.max("err"))
+        common.release(last)
+        worst = state._watched["worst"]
         if worst is None or worst < TOLERANCE:
-            break
-    return state
+            common.release(hist)
+            return state
+    raise RuntimeError(f"no multipliers within {TOLERANCE} of the targets after {NEWTON_STEPS} steps; the worst is off by {worst}")
+
+
+def _copies(limit: int, draws: int, mark: str = "") -> tuple[Column, Column]:
+    """Copies after so many draws, and the score by which the next draw takes documents (null: never), from a document's size
+    and u beside its source's state; all names begin with mark."""
+    c = lambda name: F.col(mark + name)
+    full = c("target") >= c("source_size") * limit
+    r = F.when(c("size") == 0, F.lit(0.0)).when(full, F.lit(float(limit))).otherwise(rate(c("lam"), c("size"), c("scale"), limit))
+    copies = F.floor(r)
+    # In [0, 1], rising with u / fraction; a document without a fraction is never drawn.
+    v = F.when(r > copies, c("u") / (c("u") + (r - copies)))
+    for i in range(draws):
+        copies = copies + F.coalesce((v < c(f"cut{i}")).cast("int"), F.lit(0))
+        # Another order of the same documents, for those that may have one more copy.
+        may = (copies < limit) & (c("size") > 0) & (c("size") * (*FILLS, 1)[i] <= c(f"rest{i + 1}"))
+        v = F.when(may, F.pmod(c("u") * (i + 3) + 0.5, F.lit(1.0)))
+    return copies.cast("int"), v
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, limit: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, u, copies for each row of docs(doc_id, text, source)."""
-    known = common.settle(sizes(docs), "mix-sizes")
+def state(known: DataFrame, weights: tuple[float, ...], budget: float, limit: int) -> DataFrame:
+    """One settled row for each source of known(source, size, u): its target, multiplier, and the cuts of all draws."""
     per = known.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     per = common.settle(per, "mix-sources")
-    state = targets(per, weights, budget, limit).withColumnRenamed("source", "s")
-    state = per.join(common.small(state.drop("source_size")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    state = _dual(known, state, limit).withColumnRenamed("source", "s")
-    j = known.join(common.small(state), F.col("source").eqNullSafe(F.col("s")), "inner").drop("s")
-    full = F.col("target") >= F.col("source_size") * limit
-    r = F.when(F.col("size") == 0, F.lit(0.0)).when(full, F.lit(float(limit))).otherwise(rate(F.col("lam"), F.col("size"), F.col("scale"), limit))
-    j = j.withColumn("rate", r).withColumn("whole", F.floor("rate"))
-    frac = F.col("rate") - F.col("whole")
-    # In [0, 1], rising with u / fraction; a document without a fraction is never drawn.
-    j = j.withColumns({"v": F.when(frac > 0, F.col("u") / (F.col("u") + frac)), "copies": F.col("whole")})
-    left = j.groupBy(F.col("source").alias("s")).agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"))
-    left = common.settle(left, "mix-left")
-    j, left = _draw(j, left, 3)
-    for i in range(FILLS):
-        # Another order of the same documents, for those that may have one more copy.
-        again = F.when((F.col("copies") < limit) & (F.col("size") > 0), F.pmod(F.col("u") * (i + 3) + 0.5, F.lit(1.0)))
-        j, left = _draw(j.withColumn("v", again), left, 2, quarter=True)
-    return j.select("doc_id", "size", "source_size", "target", "u", F.col("copies").cast("int").alias("copies"))
-
-
-def _draw(j: DataFrame, left: DataFrame, rounds: int, quarter: bool = False) -> tuple[DataFrame, DataFrame]:
-    """One more copy for the documents of smallest score v, as long as their source has words left; j with new copies, and
-    what is left. Each round narrows the cut by BINS bins; a window sees BINS rows a source."""
-    if quarter:
-        lim = left.select(F.col("s").alias("q"), F.col("left").alias("rest"))
-        j = j.join(common.small(lim), F.col("source").eqNullSafe(F.col("q")), "left").withColumn("v", F.when(F.col("size") * 4 <= F.col("rest"), F.col("v"))).drop("q", "rest")
-    cut, width = common.settle(left.withColumn("cut", F.lit(0.0)), "mix-cut"), 1.0
+    goal = targets(per, weights, budget, limit).select(F.col("source").alias("s"), "target")
+    at = common.settle(per.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("source"), "mix-targets")
+    at = _dual(known, at, limit).drop("lo", "hi", "err")
+    at = common.settle(at, "mix-state")
+    whole = _copies(limit, 0)[0] * F.col("size")
+    used = known.join(common.small(at), F.col("source").eqNullSafe(F.col("s"))).groupBy(F.col("s").alias("z")).agg(F.sum(whole).alias("used"))
+    at = common.settle(at.join(used, F.col("s").eqNullSafe(F.col("z"))).withColumn("rest0", F.col("target") - F.col("used")).drop("z", "used"), "mix-state")
+    for i in range(1 + len(FILLS)):
+        at = _draw(known, at, limit, i, 2 if i == 0 else 1)
+    return at
+
+
+def _draw(known: DataFrame, at: DataFrame, limit: int, i: int, rounds: int) -> DataFrame:
+    """The state with cut{i} and rest{i + 1}: one more copy goes to the documents whose score is below the cut, as long as
+    their source has words left. Each round narrows the cut by BINS bins; a window sees BINS rows a source."""
+    cut, width = common.settle(at.withColumns({"cut": F.lit(0.0), "left": F.col(f"rest{i}")}), "mix-cut"), 1.0
+    score = _copies(limit, i)[1]
     for _ in range(rounds):
         width /= BINS
-        part = j.filter("v IS NOT NULL").select("source", "v", "size").join(common.small(cut), F.col("source").eqNullSafe(F.col("s")))
+        part = known.join(common.small(cut), F.col("source").eqNullSafe(F.col("s"))).select("s", "size", "cut", score.alias("v"))
         part = part.filter((F.col("v") >= F.col("cut")) & (F.col("v") < F.col("cut") + width * BINS))
-        bins = part.groupBy("source", F.least(F.floor((F.col("v") - F.col("cut")) / width), F.lit(BINS - 1)).alias("bin")).agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("source").orderBy("bin")
-        upto = bins.withColumn("upto", F.sum("words").over(run)).join(common.small(cut), F.col("source").eqNullSafe(F.col("s")))
-        within = upto.filter(F.col("upto") <= F.col("left")).groupBy(F.col("source").alias("z")).agg(F.max("upto").alias("took"), (F.max("bin") + 1).alias("bins"))
-        cut = cut.join(within, F.col("s").eqNullSafe(F.col("z")), "left").select("s", (F.col("left") - F.coalesce("took", F.lit(0))).alias("left"), (F.col("cut") + width * F.coalesce("bins", F.lit(0))).alias("cut"))
-        cut = common.settle(cut, "mix-cut")
-    now = cut.select(F.col("s").alias("c"), "cut")
-    j = j.join(common.small(now), F.col("source").eqNullSafe(F.col("c")), "left")
-    j = j.withColumn("copies", F.col("copies") + F.coalesce((F.col("v") < F.col("cut")).cast("int"), F.lit(0))).drop("c", "cut")
-    return j, cut.drop("cut")
+        bins = part.groupBy("s", F.least(F.floor((F.col("v") - F.col("cut")) / width), F.lit(BINS - 1)).alias("bin")).agg(F.sum("size").alias("words"))
+        run = Window.partitionBy("s").orderBy("bin")
+        upto = bins.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("s", "b").join(common.small(cut.select("s", "left"), of=cut), F.col("b").eqNullSafe(F.col("s")))
+        within = upto.filter(F.col("upto") <= F.col("left")).groupBy(F.col("b").alias("z")).agg(F.max("upto").alias("took"), (F.max("bin") + 1).alias("bins"))
+        moved = {"left": F.col("left") - F.coalesce("took", F.lit(0)), "cut": F.col("cut") + width * F.coalesce("bins", F.lit(0))}
+        last, cut = cut, common.settle(cut.join(within, F.col("s").eqNullSafe(F.col("z")), "left").withColumns(moved).drop("z", "took", "bins"), "mix-cut")
+        common.release(last)
+    return common.renamed(cut, {"cut": f"cut{i}", "left": f"rest{i + 1}"})
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, limit: int = 2) -> DataFrame:
+    """docs(doc_id, text, source, ...) with _mix_size, _mix_source_size, _mix_target and _mix_copies, the times the mix takes the row."""
+    known = common.settle(sizes(docs), "mix-sizes")
+    at = state(known, weights, budget, limit)
+    common.release(known)
+    at = common.renamed(at, {c: f"_mix_{c}" for c in at.columns})
+    rows = docs.withColumns({"_mix_size": _size(), "_mix_u": _uniform()}).join(common.small(at), F.col("source").eqNullSafe(F.col("_mix_s")))
+    return rows.select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", _copies(limit, 1 + len(FILLS), "_mix_")[0].alias("_mix_copies"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    out = mixed(common.documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
