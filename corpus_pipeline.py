@@ -30,15 +30,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; copies are rows of the same doc_id."""
-    # Ids may be null or repeat: the mix gives all rows equal in id, text and source one fate, and they are told by hash.
-    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), "source", F.col("source").isNull())
-    keyed = docs.withColumn("_key", key)
-    copies = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).filter("copies > 0")
-    copies = copies.groupBy(F.col("doc_id").alias("mix_key")).agg(F.max("copies").alias("copies"))
-    copies = common.settle(copies, "pipeline-copies")
-    got = keyed.join(common.small(copies), F.col("_key") == F.col("mix_key"))
-    return got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it; copies are rows of the same doc_id. Documents without words go, rows equal in
+    id and text share one fate."""
+    got = mixing.mixed(docs)
+    got = got.filter("_mix_copies > 0")
+    return got.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
