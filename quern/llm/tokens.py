@@ -9,8 +9,10 @@ blanks or a special token's string go to the library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -19,7 +21,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECES = re.compile(rf" ?[{_LETTERS}]+(?![^ \n.,;:!?|#%&$*()])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 _RUN = re.compile(rf" ?[{_LETTERS}]+")
 #: Words remembered by a worker in each of two generations; results don't depend on it.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,27 +38,35 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        # Short-lived tokens would else set off a collection every few hundred words.
+        gc.set_threshold(200_000, 20, 50)
+
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self.model = self.tokenizer.model
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.kind, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         self.letters = _byte_letters()
+        self.blank = self.letters[32]
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             if len(self.pieces) > REMEMBERED:
                 self.pieces.clear()
-            if _RUN.fullmatch(piece):
-                text = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(self.letters)
-                got = np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes()
-            else:
+            if not _RUN.fullmatch(piece):
                 got = self._whole(piece)
+            else:
+                text = piece.lower() if self.lower else piece
+                if not text.isascii():
+                    text = text.encode().decode("latin-1").translate(self.letters)
+                elif text[0] == " ":
+                    text = self.blank + text[1:]
+                got = array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
             self.pieces[piece] = got
         return got
 
@@ -64,7 +74,13 @@ class Encoder:
         """The ids of a word after a blank, from the older generation or made anew."""
         got = self.older.get(word)
         if got is None:
-            got = b"".join([self._piece(p) for p in _PIECES.findall(word if self.lower else " " + word)])
+            own = word if self.lower else " " + word
+            if word.isascii() and word.isalpha():
+                got = self._piece(own)
+            elif word.isascii() and word[-1:] in ".,;:!?" and word[:-1].isalpha():
+                got = self._piece(own[:-1]) + self._piece(word[-1])
+            else:
+                got = b"".join([self._piece(p) for p in _PIECES.findall(own)])
         self.words[word] = got
         return got
 
