@@ -1,18 +1,20 @@
 """N-gram Jaccard join by chosen paths.
 
 Every text is the set of its five-word shingles. Texts of one set are one representative, so copies cost nothing more.
-In each of RUNS independent runs a representative follows every token whose random number, drawn from run and token,
-is below BRANCH / (threshold * size): sets with the wanted similarity share a chosen token with high probability. Nodes with one
-representative end. Nodes of at most SMALL are compared by brute force on minhash sketches. Larger ones are split again on tokens of the
-sketch, up to DEPTH times; what then still is larger holds sets that agree nearly everywhere, and is compared in blocks.
+In each run a representative follows every token whose random number, drawn from run and token, is below BRANCH / (threshold * size):
+sets with the wanted similarity share a chosen token with high probability. Nodes with one representative end. Nodes of at most SMALL
+are compared by brute force on minhash sketches. Larger ones are split again, on tokens sampled from the set by minhash, up to DEPTH
+times; what then still is larger holds sets that agree nearly everywhere, and is compared in blocks.
 
-Sketch matches well below the threshold give candidate classes (connected components). Within them every pair is checked exactly,
-in blocks, on the whole sets: this gives each text its number of links and the final classes. So a link is lost only
-if all runs miss it and no chain of other links ties its ends; RUNS sets the recall.
+Sketch matches well below the threshold (further below for small sets) give candidate classes (connected components). After every RUNS
+runs the recall is measured: QUERIES representatives, drawn by hash, are compared with all by brute force, and runs go on, each with
+random numbers of its own, until TARGET of the pairs found so lie in one candidate class. Within the classes every pair is checked
+exactly, in blocks, on the whole sets: this gives each text its number of links and the final classes.
 
 Defined cases: a null text or one without words has the empty set, and all such texts are one class; a text of fewer than five words is
-one shingle; similarity 1 links texts that differ in white space only; rows that repeat a doc_id count as documents of their own;
-an empty table gives no rows; further columns are ignored.
+one shingle; a very long text is one set, whatever its size, and blocks hold fewer of such; similarity 1 links texts that differ in white
+space only; sets at exactly the threshold are linked; rows that repeat a doc_id count as documents of their own; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +32,22 @@ from quern.llm import common
 from quern.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-#: P(no shared chosen token in a run) is about exp(-BRANCH) at the threshold: the target recall is 1 - 2e-5 for links found at once.
-RUNS, BRANCH = 6, 1.8
-SKETCH, SMALL, DEPTH, BLOCK = 128, 64, 3, 256
-#: Three and a half deviations of SKETCH matches below the threshold.
-LOOSE = THRESHOLD - 3.5 * (THRESHOLD * (1 - THRESHOLD) / SKETCH) ** 0.5
+#: P(no shared chosen token in a run) is about exp(-BRANCH) at the threshold.
+RUNS, BRANCH, TARGET, QUERIES = 4, 1.8, 0.995, 256
+SKETCH, SMALL, DEPTH, BLOCK = 128, 64, 3, 1024
 #: Elements of sets, at most, of one exact block, unless a single set is larger.
 BLOCK_ITEMS = 400_000
+#: Bytes of text hashed at a time.
+STEP_BYTES = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def loose(n: np.ndarray) -> np.ndarray:
+    """Three and a half deviations of sketch matches below the threshold, for sets of n tokens."""
+    return THRESHOLD - 3.5 * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.clip(n, 8, SKETCH))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,83 +58,140 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_WORD_HASHES: dict[bytes, int] = {}
+class _Powers:
+    """Powers of _BASE and of its inverse modulo 2^64."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            both = []
+            for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+                step = np.full(size, x, np.uint64)
+                step[0] = 1
+                with np.errstate(over="ignore"):
+                    both.append(np.cumprod(step))
+            self.up, self.down = both
+        return self.up, self.down
+
 
+_POWERS = _Powers()
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORD_HASHES) > 300_000:
-        _WORD_HASHES.clear()
-    get, raw = _WORD_HASHES.get, []
-    raw = list(map(get, words))
-    if None in raw:
-        for i, x in enumerate(raw):
-            if x is None:
-                raw[i] = _WORD_HASHES[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    h = np.array(raw, np.uint64)
-    n = max(1, len(words) - WORDS + 1)
-    out = np.zeros(n, np.uint64)
+def shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles. All texts are hashed together: a word's hash is a difference
+    of running sums over the bytes, a shingle's one of its words in turn."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    starts, stops = edge[::2], edge[1::2]
+    up, down = _POWERS.upto(len(raw) + 1)
     with np.errstate(over="ignore"):
-        for k in range(min(WORDS, len(words))):
-            out = _mix(out * _M + h[k : k + n])
-    return np.unique(out)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)])])
+        words = _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64) * _M)
+        first = np.searchsorted(starts, np.concatenate([[0], ends[:-1]]))
+        last = np.append(first[1:], len(words))
+        rolled = np.zeros(max(0, len(words) - WORDS + 1), np.uint64)
+        for k in range(WORDS):
+            rolled = rolled * _M + words[k : k + len(rolled)]
+        rolled = _mix(rolled)
+        out = []
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            if b - a >= WORDS:
+                out.append(np.unique(rolled[a : b - WORDS + 1]))
+            elif b > a:
+                h = np.zeros(1, np.uint64)
+                for k in range(a, b):
+                    h = h * _M + words[k : k + 1]
+                out.append(_mix(h + np.uint64(b - a)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+_TRIES = np.stack([_mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(b << 20)) % np.uint64(SKETCH) for b in range(SKETCH)]).astype(np.int64)
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """SKETCH one-byte minhashes, by one permutation cut into SKETCH bins; empty bins copy the next full one."""
+    """SKETCH one-byte minhashes, by one permutation cut into SKETCH bins. An empty bin asks others, in an order of its own, for
+    the first that is full."""
     h = _mix(tokens ^ np.uint64(0x5851F42D4C957F2D))
     bins = (h >> np.uint64(57)).astype(np.int64)
-    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    none = np.iinfo(np.uint64).max
+    low = np.full(SKETCH, none, np.uint64)
     np.minimum.at(low, bins, h & np.uint64((1 << 57) - 1))
-    full = np.flatnonzero(low != np.iinfo(np.uint64).max)
-    if len(full) < SKETCH:
-        # Rotation as in optimal densification: each empty bin asks bins in an order of its own.
-        for b in np.flatnonzero(low == np.iinfo(np.uint64).max):
-            tries = _mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(b) * np.uint64(1 << 20)) % np.uint64(SKETCH)
-            hit = tries[np.isin(tries, full)]
-            low[b] = low[int(hit[0]) if len(hit) else int(full[0])]
+    full = low != none
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        asked = full[_TRIES[empty]]
+        hit = asked.argmax(axis=1)
+        found = _TRIES[empty, hit]
+        low[empty] = low[np.where(asked[np.arange(len(empty)), hit], found, int(np.flatnonzero(full)[0]))]
     return (_mix(low) & np.uint64(255)).astype(np.uint8)
 
 
-def chosen(tokens: np.ndarray) -> list[tuple[int, int]]:
-    """(run, node) for every token that the set follows from the root."""
-    out = []
-    limit = np.uint64(min(2**64 - 1, int(2.0**64 * min(1.0, BRANCH / (THRESHOLD * max(1, len(tokens)))))))
-    for run in range(RUNS):
-        h = _mix(tokens + np.uint64((run + 1) * int(_M) % 2**64))
-        for x in np.sort(h[h < limit]) if limit < np.uint64(2**64 - 1) else h:
-            out.append((run, int(np.int64(_mix(np.array([x ^ np.uint64(run)]))[0]))))
-    return out
+def chosen(tokens: np.ndarray, first: int, runs: int) -> np.ndarray:
+    """The nodes that a set of 32-bit tokens follows from the root in the runs from first on."""
+    if not len(tokens):
+        return np.zeros(0, np.int64)
+    limit = BRANCH / (THRESHOLD * len(tokens))
+    wide, out = _mix(tokens.astype(np.uint64) + _M), []
+    with np.errstate(over="ignore"):
+        for run in range(first, first + runs):
+            odd = _mix(np.array([run + 1], np.uint64)) | np.uint64(1)
+            h = _mix(wide * odd)
+            h = h if limit >= 1 else h[h < np.uint64(int(limit * 2.0**64))]
+            out.append(_mix(h ^ odd))
+    return np.concatenate(out).astype(np.int64)
 
 
 def _rid(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _steps(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Shingles of texts, from a position on, some STEP_BYTES at a time."""
+    raw, begin, size = [(t or "").encode("utf-8", "surrogatepass") for t in texts], 0, 0
+    for i, x in enumerate(raw):
+        size += len(x)
+        if size >= STEP_BYTES or i == len(raw) - 1:
+            yield begin, shingles(raw[begin : i + 1])
+            begin, size = i + 1, 0
+
+
 def represent(docs: DataFrame) -> DataFrame:
-    """doc_id, rid (of the shingle set), n (its size), tokens (the set's 32-bit hashes, sorted), sketch, nodes."""
+    """doc_id, rid (of the shingle set), n (its size), tokens (the set's 32-bit hashes, sorted), sketch, nodes of the first runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                s, rows = b.slice(i, 256), []
-                for doc_id, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
-                    t = shingles(text)
-                    rid = _rid(t)
-                    short = np.unique((t >> np.uint64(32)).astype("<u4"))
-                    rows.append((doc_id, rid, len(short), short.tobytes(), sketch(t).tobytes() if len(t) else b"", [x for _, x in chosen(t)]))
+            ids = b.column(0).to_pylist()
+            for at, sets in _steps(b.column(1).to_pylist()):
+                rows = []
+                for doc_id, t in zip(ids[at : at + len(sets)], sets, strict=True):
+                    short = (t >> np.uint64(32)).astype("<u4")
+                    short = short[np.append(True, short[1:] != short[:-1])] if len(short) else short
+                    rows.append((doc_id, _rid(t), len(short), short.tobytes(), sketch(t).tobytes() if len(t) else b"", chosen(short, 0, RUNS)))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "rid", "n", "tokens", "sketch", "nodes"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, rid long, n int, tokens binary, sketch binary, nodes array<long>")
 
 
+def further_nodes(rows: DataFrame, first: int) -> DataFrame:
+    """rid, nodes: those of the RUNS runs from first on, from the tokens of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [chosen(np.frombuffer(t, "<u4"), first, RUNS) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.list_(pa.int64()))], names=["rid", "nodes"])
+
+    return rows.select("rid", "tokens").mapInArrow(run, "rid long, nodes array<long>")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Batches of a partition sorted by key, cut so that no group is divided; groups here are bounded by their makers."""
     held = []
@@ -169,12 +236,13 @@ def _compare_small(rows: DataFrame) -> DataFrame:
         for t in _groups(batches, "node"):
             node, rid = t.column("node").to_numpy(), t.column("rid").to_numpy()
             s, left, right, d = _bytes(t.column("sketch"), SKETCH), [], [], 1
+            least = loose(t.column("n").to_numpy())
             while d < len(node):
                 i = np.flatnonzero(node[:-d] == node[d:])
                 if not len(i):
                     break
                 alike = np.concatenate([(s[x] == s[x + d]).mean(axis=1) for x in np.array_split(i, len(i) // 50_000 + 1)])
-                hit = i[alike >= LOOSE]
+                hit = i[alike >= np.minimum(least[i], least[i + d])]
                 left.append(hit)
                 right.append(hit + d)
                 d += 1
@@ -199,9 +267,9 @@ def _descend(rows: DataFrame, depth: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     h = _mix(_mix(node + np.uint64(depth * int(_M) % 2**64))[:, None] ^ (place + s).astype(np.uint64) * _M)
                 i, j = np.nonzero(h < limit)
-                yield pa.RecordBatch.from_arrays([pa.array(h[i, j].astype(np.int64)), t.column("rid").take(pa.array(i)).combine_chunks(), t.column("sketch").take(pa.array(i)).combine_chunks()], names=["node", "rid", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i, j].astype(np.int64)), *[t.column(c).take(pa.array(i)).combine_chunks() for c in ("rid", "n", "sketch")]], names=["node", "rid", "n", "sketch"])
 
-    return rows.select("node", "rid", "sketch").mapInArrow(run, "node long, rid long, sketch binary")
+    return rows.select("node", "rid", "n", "sketch").mapInArrow(run, "node long, rid long, n int, sketch binary")
 
 
 def _blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -224,11 +292,11 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
         for t in _groups(batches, "part"):
             part = t.column("part").to_numpy()
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            rid, s = t.column("rid").to_numpy(), _bytes(t.column("sketch"), SKETCH)
+            rid, s, least = t.column("rid").to_numpy(), _bytes(t.column("sketch"), SKETCH), loose(t.column("n").to_numpy())
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 ids, sk, left, right = rid[x:y], s[x:y], [], []
                 for i in range(len(ids) - 1):
-                    hit = np.flatnonzero((sk[i + 1 :] == sk[i]).mean(axis=1) >= LOOSE) + i + 1
+                    hit = np.flatnonzero((sk[i + 1 :] == sk[i]).mean(axis=1) >= np.minimum(least[x + i], least[x + i + 1 : y])) + i + 1
                     left.append(np.full(len(hit), i))
                     right.append(hit)
                 if left:
@@ -239,11 +307,11 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """a, b: links, as sketches see them, that tie together all candidate classes of reps(rid, sketch, nodes)."""
-    node = reps.select("rid", F.explode(F.array_distinct("nodes")).alias("node"))
+def candidates(reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: links, as sketches see them, that tie together the candidate classes of reps(rid, n, sketch) in the runs of nodes(rid, nodes)."""
+    node = nodes.select("rid", F.explode("nodes").alias("node")).distinct()
     sizes = node.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = node.join(sizes, "node").join(reps.select("rid", "sketch"), "rid").select("node", "size", "rid", "sketch")
+    rows = node.join(sizes, "node").join(reps, "rid").select("node", "size", "rid", "n", "sketch")
     rows = common.settle(rows, "join-nodes")
     found = _compare_small(rows.filter(F.col("size") <= SMALL))
     for depth in range(1, DEPTH + 1):
@@ -254,29 +322,59 @@ def candidates(reps: DataFrame) -> DataFrame:
         sizes = child.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
         rows = common.settle(child.join(sizes, "node"), "join-nodes")
         found = found.unionByName(_compare_small(rows.filter(F.col("size") <= SMALL)))
-    large = rows.filter(F.col("size") > SMALL).select("node", "rid", "sketch")
+    large = rows.filter(F.col("size") > SMALL).select("node", "rid", "n", "sketch")
     sizes = rows.filter(F.col("size") > SMALL).select("node", "size").distinct()
     return found.unionByName(_compare_blocks(_blocked(large, "node", sizes, BLOCK)))
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, from tokens that at least two sets hold, some thousand tokens at a time."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    token, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    shared = np.flatnonzero(times > 1)
-    place = np.full(len(token), -1)
-    place[shared] = np.arange(len(shared))
-    column = place[inverse]
-    keep = column >= 0
-    owner, column = owner[keep], column[keep]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+def recall(reps: DataFrame, group: DataFrame) -> float:
+    """The share of pairs alike by their sketches that lie in one class of group(node, root): QUERIES of reps(rid, n, sketch), drawn
+    by hash, against all others by brute force. 1 if there is no such pair."""
+    rows = reps.join(group, F.col("rid") == F.col("node"), "left").select("rid", "sketch", F.coalesce("root", "rid").alias("root"))
+    asked = reps.orderBy(F.xxhash64(F.lit("query"), "rid")).limit(QUERIES).select("rid")
+    asked = rows.join(F.broadcast(asked), "rid").collect()
+    q = np.frombuffer(b"".join(bytes(r["sketch"]) for r in asked), np.uint8).reshape(-1, SKETCH)
+    ids, roots = np.array([r["rid"] for r in asked], np.int64), np.array([r["root"] for r in asked], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = together = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rid, s, root = b.column(0).to_numpy(), _bytes(pa.chunked_array([b.column(1)]), SKETCH), b.column(2).to_numpy()
+            for i in range(len(ids)):
+                hit = np.flatnonzero(((s == q[i]).sum(axis=1) >= THRESHOLD * SKETCH) & (rid != ids[i]))
+                total += len(hit)
+                together += int((root[hit] == roots[i]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([together], pa.int64())], names=["total", "together"])
+
+    got = rows.mapInArrow(run, "total long, together long").agg(F.sum("total").alias("t"), F.sum("together").alias("g")).first()
+    return got["g"] / got["t"] if got["t"] else 1.0
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of left with right sets, from tokens that both sides hold, some thousand tokens at a time."""
+    both = []
+    for sets in (left, right):
+        both.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)))
+    shared = np.intersect1d(both[0][1], both[1][1]) if left is not right else np.unique(both[0][1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for owner, token in both:
+        at = np.searchsorted(shared, token)
+        keep = at < len(shared)
+        keep[keep] = shared[at[keep]] == token[keep]
+        owner, at = owner[keep], at[keep]
+        order = np.argsort(at, kind="stable")
+        sides.append((owner[order], at[order]))
     for lo in range(0, len(shared), 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        m = np.zeros((len(sets), min(4096, len(shared) - lo)), np.float32)
-        m[owner[a:b], column[a:b] - lo] = 1
-        out += m @ m.T
+        m = []
+        for (owner, at), n in zip(sides, out.shape, strict=True):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            x = np.zeros((n, min(4096, len(shared) - lo)), np.float32)
+            x[owner[a:b], at[a:b] - lo] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
     return out
 
 
@@ -291,15 +389,26 @@ def _verify(rows: DataFrame) -> DataFrame:
             out = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 sets = [np.frombuffer(v, "<u4") for v in t.column("tokens").slice(x, y - x).to_pylist()]
-                n = np.array([len(v) for v in sets], np.float64)
-                both = _overlaps(sets).astype(np.float64)
-                alike = both >= THRESHOLD * (n[:, None] + n[None, :] - both) - 1e-9
-                np.fill_diagonal(alike, False)
-                if not same[x]:  # pairs within a block are counted where it meets itself
-                    alike &= side[x:y][:, None] != side[x:y][None, :]
-                i, j = np.nonzero(alike)
+                # A block meets itself or another; pairs within a block are counted where it meets itself.
+                left, right = (np.arange(y - x),) * 2 if same[x] else (np.flatnonzero(side[x:y] == k) for k in (0, 1))
+                links = np.zeros(y - x)
+                i = j = np.zeros(0, int)
+                if len(left) and len(right):
+                    mine = [sets[k] for k in left]
+                    n = np.array([len(v) for v in sets], np.float32)
+                    o = _overlaps(mine, mine if same[x] else [sets[k] for k in right])
+                    # 1e-3: far above what float32 rounds here, far below the least step of the two sides, 0.2.
+                    alike = (1 + THRESHOLD) * o + 1e-3 >= THRESHOLD * (n[left][:, None] + n[right][None, :])
+                    if same[x]:
+                        np.fill_diagonal(alike, False)
+                    weight = copies[x:y].astype(np.float64)
+                    links[left] += alike @ weight[right]
+                    if not same[x]:
+                        links[right] += weight[left] @ alike
+                    i, j = np.nonzero(alike)
+                    i, j = left[i], right[j]
                 label = _lowest(np.arange(y - x), i, j)
-                out.append((rid[x:y], rid[x:y][label], alike @ copies[x:y].astype(np.float64)))
+                out.append((rid[x:y], rid[x:y][label], links))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int64))], names=["rid", "root", "links"])
 
@@ -311,7 +420,7 @@ def set_id(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_rid(shingles(t)) for t in texts], dtype="int64")
+        return pd.Series([_rid(t) for _, sets in _steps(list(texts)) for t in sets], dtype="int64")
 
     return of(text)
 
@@ -322,14 +431,23 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = common.settle(represent(docs), "join-rows")
     copies = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
     copies = common.settle(copies, "join-copies")
-    # One row of each set: the one with the least id, of rows equal in id and set any. A set may have null ids alone.
-    first = copies.select(F.col("rid").alias("r"), "least")
-    reps = rows.filter("n > 0").join(first, (F.col("rid") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("rid", "sketch", "nodes").dropDuplicates(["rid"])
-    tied = common.settle(candidates(common.settle(reps, "join-reps")), "join-links")
-    group = common.settle(components(tied).join(copies.select(F.col("rid").alias("node"), "copies", "least", "n"), "node").withColumnRenamed("node", "rid"), "join-groups")
+    # Rows of one rid agree in all but doc_id, so it doesn't matter which is taken.
+    reps = common.settle(rows.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-reps")
+    tied, run, nodes = None, 0, rows.filter("n > 0").select("rid", "nodes")
+    while True:
+        more = candidates(reps, nodes)
+        tied = common.settle(more if tied is None else tied.unionByName(more), "join-links")
+        found = components(tied)
+        if recall(reps, found) >= TARGET:
+            break
+        run += RUNS
+        nodes = further_nodes(rows.filter("n > 0"), run)
+    group = common.settle(found.join(copies.select(F.col("rid").alias("node"), "copies", "n"), "node").withColumnRenamed("node", "rid"), "join-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     sizes = sizes.select("root", F.greatest(F.col("rows"), F.ceil(F.col("items") * BLOCK / BLOCK_ITEMS)).alias("size"))
-    member = group.join(rows.select("rid", "doc_id", "tokens"), [group["rid"] == rows["rid"], group["least"].eqNullSafe(rows["doc_id"])]).select(group["rid"], "root", "copies", "tokens").dropDuplicates(["rid"])
+    # By shuffle whatever the size of the groups: the work then grows with the table alone. Copies are dropped before it.
+    tokens = rows.filter("n > 0").groupBy(F.col("rid").alias("r")).agg(F.first("tokens").alias("tokens"))
+    member = group.hint("merge").join(tokens.hint("merge"), F.col("r") == F.col("rid")).select("rid", "root", "copies", "tokens")
     checked = common.settle(_verify(_blocked(member, "root", sizes, BLOCK)), "join-checked")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(checked.select(F.col("rid").alias("a"), F.col("root").alias("b")))

@@ -133,6 +133,38 @@ def test_jaccard_join_of_one_large_group(spark):
     assert sorted((tuple(r) for r in simjoin.join(df).collect()), key=repr) == brute(df)
 
 
+def test_shingles_against_words():
+    """Equal words in a row give equal hashes, different ones different hashes, wherever they stand and however they are spaced."""
+    texts = ["a b c d e f", "  a  b\tc d e\n", "", " ", "a b c d", "a b c d e f", "b c d e f", "ab c d e f", "é\x1c b c d e", "é b c d e"]
+    of = lambda t: {tuple(w[i : i + 5]) for w in [t.encode().split()] if w for i in range(max(1, len(w) - 4))}
+    got = simjoin.shingles([t.encode() for t in texts])
+    for t, h in zip(texts, got, strict=True):
+        assert len(h) == len(of(t)) and (np.diff(h.astype(object)) > 0).all()
+        for other, g in zip(texts, got, strict=True):
+            assert len(np.intersect1d(h, g)) == len(of(t) & of(other)), (t, other)
+
+
+def test_sketch_loses_no_small_pair():
+    """Sets of ten to a thousand tokens at the threshold: their sketches agree beyond the limit of their size."""
+    rng = np.random.default_rng(7)
+    for n in (10, 20, 40, 80, 300, 1000):
+        lost = 0
+        for _ in range(300):
+            common_ = rng.integers(1, 2**63, round(n * 8 / 9), np.uint64)
+            a, b = (np.unique(np.concatenate([common_, rng.integers(1, 2**63, n - len(common_), np.uint64)])) for _ in range(2))
+            lost += (simjoin.sketch(a) == simjoin.sketch(b)).mean() < simjoin.loose(np.array([n]))[0]
+        assert lost <= 1, (n, lost)
+
+
+def test_join_goes_on_until_the_recall(spark, docs, monkeypatch):
+    """With chosen paths that hardly ever meet, runs go on until the measured recall is there."""
+    monkeypatch.setattr(simjoin, "BRANCH", 0.3)
+    calls, real = [], simjoin.recall
+    monkeypatch.setattr(simjoin, "recall", lambda *a: calls.append(real(*a)) or calls[-1])
+    got = sorted((tuple(r) for r in simjoin.join(docs).collect()), key=repr)
+    assert calls[-1] >= simjoin.TARGET and len(got) == docs.count()
+
+
 def _odd_ids(spark):
     """Near duplicates under null ids; different texts under one id and under none; copies of a row."""
     text = lambda p, x=0: " ".join([*(f"{p}{i}" for i in range(80)), f"x{x}"])
