@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def number_bytes(c: Column) -> Column:
-    """One byte for two significant digits and one more; a minus sign counts another. Zeros at either end don't count."""
-    text = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), r"[-.]", "")
-    digits = F.length(F.regexp_replace(text, "^0+|0+$", ""))
-    return F.greatest(F.lit(1), F.ceil(digits / 2) + 1 + (c < 0).cast("int")).cast("long")
+_NUMBER = r"^[-+]?([0-9]*)\.?([0-9]*)(?:[eE]([-+]?[0-9]+))?$"
 
 
-def value_bytes(c: Column, t: T.DataType) -> Column:
-    if isinstance(t, T.StringType):
-        return F.octet_length(c).cast("long")
-    if isinstance(t, T.BinaryType):
+def number_bytes(c: Column) -> Column:
+    """One byte, one for each two significant digits before the point and for each two behind it, one for a minus sign; at most
+    21. Zeros around the significant digits don't count, those between them do. Works on the number's text, so on any size."""
+    text = c.cast("string")
+    whole, part, e = (F.regexp_extract(text, _NUMBER, i) for i in (1, 2, 3))
+    digits = F.concat(whole, part)
+    kept = F.regexp_replace(digits, "^0+", "")
+    span = F.length(F.regexp_replace(kept, "0+$", ""))
+    # Places of the first and the last significant digit, as powers of ten.
+    first = F.length(whole) - 1 + F.coalesce(e.try_cast("int"), F.lit(0)) - (F.length(digits) - F.length(kept))
+    last = first - span + 1
+    pairs = lambda n: F.ceil(n / 2)
+    halves = F.when((last >= 0) | (first < 0), pairs(span)).otherwise(pairs(first + 1) + pairs(-last))
+    return F.when(span == 0, F.lit(1)).otherwise(F.least(F.lit(21), 1 + halves + F.startswith(text, F.lit("-")).cast("int"))).cast("long")
+
+
+def value_bytes(c: Column, t: T.DataType, is_set: bool = False) -> Column:
+    """A set is the sum of its members; lists and maps count three bytes, and one for each member."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
         return F.octet_length(c).cast("long")
     if isinstance(t, T.NumericType):
         return number_bytes(c)
     if isinstance(t, T.ArrayType):
-        return 3 + F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + value_bytes(x, t.elementType) + 1)
+        more = 0 if is_set else 1
+        return F.aggregate(c, F.lit(3 * more).cast("long"), lambda acc, x: acc + F.coalesce(value_bytes(x, t.elementType), F.lit(1)) + more)
     if isinstance(t, T.StructType):
         out = F.lit(3).cast("long")
         for f in t.fields:
@@ -33,12 +45,12 @@ def value_bytes(c: Column, t: T.DataType) -> Column:
     return F.lit(1).cast("long")
 
 
-def item_size(df: DataFrame) -> Column:
-    """Bytes of names and values of the attributes an item has."""
+def item_size(df: DataFrame, sets: tuple[str, ...] = ()) -> Column:
+    """Bytes of names and values of the attributes an item has; the columns named in sets are sets."""
     out = F.lit(0).cast("long")
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        out = out + F.when(c.isNotNull(), value_bytes(c, f.dataType) + len(f.name.encode())).otherwise(0)
+        out = out + F.when(c.isNotNull(), value_bytes(c, f.dataType, f.name in sets) + len(f.name.encode())).otherwise(0)
     return out
 
 

@@ -25,6 +25,12 @@ def capture(old: TableDef, new: DataFrame, written: DataFrame | None = None) ->
     return both.select(event.alias("event"), *[F.col(f"k_{k}").alias(k) for k in keys], "old", "new")
 
 
+def captured(written, keys: tuple[str, ...]) -> DataFrame:
+    """The records of a write, from the images it has paired already: no table is read or joined again."""
+    event = F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "REMOVE").otherwise("MODIFY")
+    return written.changes.filter("ok").select(event.alias("event"), *keys, "old", "new")
+
+
 def view(changes: DataFrame, keys: tuple[str, ...], view_type: str) -> DataFrame:
     if view_type not in VIEWS:
         raise ValidationError(f"no view type {view_type}")

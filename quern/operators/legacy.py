@@ -15,7 +15,7 @@ def node(name: str, operator: str, values: list):
         raise ValidationError(f"{operator} has the wrong number of values")
     if operator in COMPARE:
         return ("cmp", COMPARE[operator], p, vs[0])
-    made = {"BETWEEN": lambda: ("between", p, *vs), "IN": lambda: ("in", p, vs), "BEGINS_WITH": lambda: ("fn", "begins_with", [p, *vs]), "CONTAINS": lambda: ("fn", "contains", [p, *vs]), "NOT_CONTAINS": lambda: ("and", ("fn", "attribute_exists", [p]), ("not", ("fn", "contains", [p, *vs]))), "NULL": lambda: ("fn", "attribute_not_exists", [p]), "NOT_NULL": lambda: ("fn", "attribute_exists", [p])}
+    made = {"BETWEEN": lambda: ("between", p, *vs), "IN": lambda: ("in", p, vs), "BEGINS_WITH": lambda: ("fn", "begins_with", [p, *vs]), "CONTAINS": lambda: ("fn", "contains", [p, *vs]), "NOT_CONTAINS": lambda: ("not", ("fn", "contains", [p, *vs])), "NULL": lambda: ("fn", "attribute_not_exists", [p]), "NOT_NULL": lambda: ("fn", "attribute_exists", [p])}
     if operator not in made:
         raise ValidationError(f"no operator {operator}")
     return made[operator]()

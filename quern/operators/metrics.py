@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRANULARITIES = ("1 minute", "5 minutes", "15 minutes", "1 hour")
+#: Fixed by the interface: the longest range, in seconds, that each granularity serves; longer ones get the last.
+GRANULARITIES = ((600, "1 minute"), (7200, "5 minutes"), (28800, "15 minutes"), (None, "1 hour"))
 
 
 def flush(points: DataFrame, dims: list[str], time: str = "ts", value: str = "value") -> DataFrame:
@@ -24,7 +25,13 @@ def rebucket(minutes: DataFrame, dims: list[str], granularity: str) -> DataFrame
 
 def granularity_of(seconds: float) -> str:
     """Automatic granularity of a range: finer for shorter ranges."""
-    return GRANULARITIES[0] if seconds <= 3 * 3600 else GRANULARITIES[1] if seconds <= 24 * 3600 else GRANULARITIES[2] if seconds <= 72 * 3600 else GRANULARITIES[3]
+    return next(g for most, g in GRANULARITIES if most is None or seconds <= most)
+
+
+def range_query(minutes: DataFrame, dims: list[str], start, end, granularity: str | None = None) -> DataFrame:
+    """Buckets of the minutes from start to before end; the length of the range chooses the granularity where none is given."""
+    inside = minutes.filter((F.col("minute") >= F.lit(start)) & (F.col("minute") < F.lit(end)))
+    return rebucket(inside, dims, granularity or granularity_of((end - start).total_seconds()))
 
 
 def snapshot(points: DataFrame, dims: list[str], now, window: str | None, time: str = "ts", value: str = "value") -> DataFrame:

@@ -1,7 +1,15 @@
-"""Exact top-K by distance. Scores are sums of doubles; ties go by base key."""
+"""Exact top-K by distance. Scores are sums of doubles; ties go by base key.
+
+Vectors go through NumPy a batch at a time, as functions over arrays are interpreted element by element: an Arrow batch of lists of one
+length is a matrix already. Of each batch only the keys of the nearest go back, so what is ranked is a few rows a batch.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,29 +19,17 @@ from quern.model import TableDef, ValidationError
 MAX_K, MAX_DIMS = 100, 4096
 
 
-def _terms(v: Column, q: list[float], term) -> Column:
-    """A sum of one term a dimension, written out: it stays inside generated code, unlike functions over arrays."""
-    terms = [term(F.get(v, F.lit(i)).cast("double"), x) for i, x in enumerate(q)]
-    while len(terms) > 1:  # a balanced tree keeps the expression shallow
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
-
-
-def _dot(v: Column, q: list[float]) -> Column:
-    return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in q]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def distance(kind: str, v: Column, q: list[float]) -> Column:
+def distances(kind: str, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each row of v, as doubles."""
     if kind == "DOT_PRODUCT":
-        return _dot(v, q)
+        return v @ q
     if kind == "EUCLIDEAN":
-        return F.sqrt(F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in q]), lambda a, b: F.pow(a.cast("double") - b, F.lit(2.0))), F.lit(0.0), lambda acc, x: acc + x))
+        return np.sqrt(np.square(v - q).sum(axis=1))
     if kind != "COSINE":
         raise ValidationError(f"no distance {kind}")
-    norm = sum(float(x) * float(x) for x in q) ** 0.5
-    own = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    cosine = _dot(v, q) / (own * norm)
-    return F.when((own == 0) | F.lit(norm == 0), F.lit(1.0)).otherwise(1 - F.greatest(F.least(cosine, F.lit(1.0)), F.lit(-1.0)))
+    norms = np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(q @ q)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(norms == 0, 1.0, 1 - np.clip((v @ q) / norms, -1.0, 1.0))
 
 
 def valid(v: Column, dims: int) -> Column:
@@ -56,7 +52,28 @@ def search(table: TableDef, index: str, q: list[float], k: int, where: dict | No
     for name, v in where.items():
         df = df.filter(F.col(name) == literal(v))
     cols = projection or [c for c in df.columns if c != i.attribute]
-    # Scores and keys alone are ranked; TakeOrderedAndProject keeps k rows a task.
-    scored = df.withColumn("score", distance(i.distance, F.col(i.attribute), q))
-    best = F.col("score").desc() if i.distance == "DOT_PRODUCT" else F.col("score").asc()
-    return scored.orderBy(best, *table.keys).limit(k).select(*cols, "score")
+    if i.distance not in ("COSINE", "EUCLIDEAN", "DOT_PRODUCT"):
+        raise ValidationError(f"no distance {i.distance}")
+    names, kind, dims, sign = list(table.keys), i.distance, i.dims, -1.0 if i.distance == "DOT_PRODUCT" else 1.0
+    query = np.array(q, float)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            if not b.num_rows:
+                continue
+            flat = lists.flatten()
+            if flat.null_count or len(flat) != dims * b.num_rows or (np.diff(lists.offsets.to_numpy()) != dims).any():
+                raise ValueError(f"a vector of {i.attribute} doesn't have the {dims} numbers of its index")
+            score = distances(kind, flat.to_numpy(zero_copy_only=False).reshape(-1, dims).astype(float), query)
+            # All that tie with the last of the nearest stay: their keys decide.
+            last = np.partition(score * sign, k - 1)[k - 1] if len(score) > k else np.inf
+            near = pa.array(np.flatnonzero(score * sign <= last))
+            yield pa.RecordBatch.from_arrays([*(b.column(1 + j).take(near) for j in range(len(names))), pa.array(score).take(near)], names=[*names, "score"])
+
+    fields = ", ".join(f"`{n}` {table.df.schema[n].dataType.simpleString()}" for n in names)
+    best = F.col("score").desc() if sign < 0 else F.col("score").asc()
+    top = df.select(i.attribute, *names).mapInArrow(nearest, f"{fields}, score double").orderBy(best, *names).limit(k)
+    # At most MAX_K rows, so they are broadcast; their items are read beside them.
+    found = df.select(*dict.fromkeys([*names, *cols])).join(F.broadcast(top), names)
+    return found.orderBy(best, *names).select(*cols, "score")

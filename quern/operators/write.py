@@ -1,4 +1,9 @@
-"""Writes as joins: a table and a table of requests give the new table and its change feed. Nothing is changed in place."""
+"""Writes as joins: a table and a table of requests give the new table and its change feed. Nothing is changed in place.
+
+The table itself is neither shuffled nor sorted where the requests are within REQUEST_BYTES, which is checked: items that no
+request names pass an anti-join against the broadcast keys, and old images come from an inner join against the broadcast requests.
+Beyond that the same two joins carry no hint, and Catalyst chooses.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +15,12 @@ from pyspark.sql import types as T
 
 from quern.functions.compile import Compiler, Typed, literal, total
 from quern.functions.parse import Reader
+from quern.functions.size import item_size
 from quern.model import ConditionFailed, TableDef, ValidationError
 
 MAX_BATCH, MAX_TRANSACTION = 25, 100
+#: Estimated bytes of requests that are broadcast; columnar files may hold several times as much in memory.
+REQUEST_BYTES, REQUEST_ROWS = 4 << 20, 10_000
 
 
 @dataclass
@@ -46,22 +54,45 @@ def condition_node(text: str | None, names=None, values=None):
     return node
 
 
-def _paired(table: TableDef, requests: DataFrame) -> DataFrame:
-    """Items and requests by key: old (null if absent), req (null if none)."""
-    cols = table.df.columns
-    old = table.df.select(*[F.col(k).alias(f"k_{k}") for k in table.keys], F.struct(*cols).alias("old"))
-    req = requests.select(*[F.col(k).alias(f"k_{k}") for k in table.keys], F.struct(*requests.columns).alias("req"))
-    return old.join(req, [f"k_{k}" for k in table.keys], "full_outer")
-
-
-def _apply(table: TableDef, paired: DataFrame, new: Column, condition, writes: Column | None = None) -> Written:
+@dataclass
+class Paired:
+    """asked: a row for each request, with k_ keys, old (null if absent) and req. rest: the items that no request names."""
+
+    asked: DataFrame
+    rest: DataFrame
+
+
+def _few(requests: DataFrame) -> bool:
+    """Within REQUEST_BYTES by Catalyst's estimate, or, where that is large or unknown, by a count of the first REQUEST_ROWS rows."""
+    if int(str(requests._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= REQUEST_BYTES:
+        return True
+    first = requests.limit(REQUEST_ROWS + 1)
+    seen = first.agg(F.count("*").alias("rows"), F.sum(item_size(first)).alias("bytes")).first()
+    return seen["rows"] <= REQUEST_ROWS and (seen["bytes"] or 0) <= REQUEST_BYTES
+
+
+def _paired(table: TableDef, requests: DataFrame) -> Paired:
+    """Items and requests by key. Two requests of one key are an error when the result is read."""
+    names = [f"k_{k}" for k in table.keys]
+    hint = F.broadcast if _few(requests) else (lambda df: df)
+    twice = F.raise_error(F.lit("two requests name one key"))
+    req = requests.groupBy(*[F.col(k).alias(f"k_{k}") for k in table.keys]).agg(F.count("*").alias("_n"), F.first(F.struct(*requests.columns)).alias("req"))
+    req = req.select(*names, F.when(F.col("_n") > 1, twice.cast(req.schema["req"].dataType)).otherwise(F.col("req")).alias("req"))
+    same = [F.col(k) == F.col(f"k_{k}") for k in table.keys]
+    found = table.df.join(hint(req), same).select(*names, F.struct(*[F.col(f"`{c}`") for c in table.df.columns]).alias("old"), "req")
+    # What the requests found is no more than they are themselves.
+    none = F.lit(None).cast(found.schema["old"].dataType).alias("old")
+    absent = req.join(hint(found.select(*names)), names, "left_anti").select(*names, none, "req")
+    return Paired(found.unionByName(absent), table.df.join(hint(req.select(*names)), same, "left_anti"))
+
+
+def _apply(table: TableDef, paired: Paired, new: Column, condition) -> Written:
     """new: the image a request wants (null: none), of columns old and req."""
-    flat = paired.select("*", *[F.col(f"old.{c}").alias(f"o_{c}") for c in table.df.columns])
+    flat = paired.asked.select("*", *[F.col(f"old.{c}").alias(f"o_{c}") for c in table.df.columns])
     met = total(Compiler(Typed(flat, table.sets, "o_")).condition(condition)) if condition else F.lit(True)
-    asked = F.col("req").isNotNull()
-    flat = flat.withColumn("ok", met).withColumn("new", F.when(asked & F.col("ok"), new).otherwise(F.col("old")))
-    after = flat.filter(F.col("new").isNotNull()).select("new.*")
-    changes = flat.filter(asked).filter(F.col("old").isNotNull() | F.col("new").isNotNull() | ~F.col("ok"))
+    flat = flat.withColumn("ok", met).withColumn("new", F.when(F.col("ok"), new).otherwise(F.col("old")))
+    after = paired.rest.unionByName(flat.filter(F.col("new").isNotNull()).select("new.*"))
+    changes = flat.filter(F.col("old").isNotNull() | F.col("new").isNotNull() | ~F.col("ok"))
     changes = changes.select(*[F.col(f"k_{k}").alias(k) for k in table.keys], "old", F.when(F.col("ok"), F.col("new")).alias("new"), "ok")
     return Written(after, changes)
 
@@ -76,19 +107,20 @@ def delete(table: TableDef, keys: DataFrame, condition: str | None = None, names
     return _apply(table, _paired(table, keys), F.lit(None).cast(table.df.select(F.struct("*")).schema[0].dataType), condition_node(condition, names, values))
 
 
-def batch_write(table: TableDef, puts: DataFrame | None = None, deletes: DataFrame | None = None) -> Written:
-    """Puts and deletes without conditions; a key twice is refused when the result is read."""
+def batch_write(table: TableDef, puts: DataFrame | None = None, deletes: DataFrame | None = None, most: int | None = MAX_BATCH) -> Written:
+    """Puts and deletes without conditions, at most so many (None: any number); a key twice is an error when the result is read."""
     ops = []
     if puts is not None:
         ops.append(puts.select(*table.df.columns, F.lit(True).alias("_put")))
     if deletes is not None:
         ops.append(deletes.select(*[F.col(c) if c in table.keys else F.lit(None).cast(table.df.schema[c].dataType).alias(c) for c in table.df.columns], F.lit(False).alias("_put")))
+    if not ops:
+        raise ValidationError("a batch has puts or deletes")
     both = ops[0] if len(ops) == 1 else ops[0].unionByName(ops[1])
-    single = both.groupBy(*table.keys).agg(F.count("*").alias("_n"), F.first(F.struct(*both.columns)).alias("_r"))
-    single = single.select("_r.*", F.when(F.col("_n") > 1, F.raise_error(F.lit("a batch can't write a key twice"))).otherwise(F.lit(0)).alias("_once"))
-    paired = _paired(table, single)
-    new = F.when(F.col("req._put") & (F.col("req._once") == 0), F.struct(*[F.col(f"req.{c}").alias(c) for c in table.df.columns]))
-    return _apply(table, paired, new, None)
+    if most is not None and both.limit(most + 1).count() > most:
+        raise ValidationError(f"a batch has at most {most} requests")
+    new = F.when(F.col("req._put"), F.struct(*[F.col(f"req.{c}").alias(c) for c in table.df.columns]))
+    return _apply(table, _paired(table, both), new, None)
 
 
 # Update expressions
@@ -187,32 +219,32 @@ def update(table: TableDef, keys: DataFrame, expression: str | dict[str, list],
     paired = _paired(table, keys)
     makes = any(a in actions for a in ("SET", "ADD"))
     cols = table.df.columns
-    start = paired.select("*", *[(F.coalesce(F.col(f"old.{c}"), F.col(f"k_{c}")) if c in table.keys else F.col(f"old.{c}")).alias(c) for c in cols])
-    done = update_columns(start.filter("req IS NOT NULL"), actions, table.sets)
-    image = F.struct(*cols)
-    asked = done.select(*[f"k_{k}" for k in table.keys], "old", "req", F.when(F.col("old").isNotNull() | F.lit(makes), image).alias("want"))
-    rest = paired.filter("req IS NULL").select(*[f"k_{k}" for k in table.keys], "old", "req", F.lit(None).cast(asked.schema["want"].dataType).alias("want"))
-    return _apply(table, asked.unionByName(rest), F.col("want"), condition_node(condition, names, values))
+    start = paired.asked.select("*", *[(F.coalesce(F.col(f"old.{c}"), F.col(f"k_{c}")) if c in table.keys else F.col(f"old.{c}")).alias(c) for c in cols])
+    done = update_columns(start, actions, table.sets)
+    asked = done.select(*[f"k_{k}" for k in table.keys], "old", "req", F.when(F.col("old").isNotNull() | F.lit(makes), F.struct(*cols)).alias("want"))
+    node = condition_node(condition, names, values) if isinstance(condition, str) else condition
+    return _apply(table, Paired(asked, paired.rest), F.col("want"), node)
 
 
 def transact(table: TableDef, puts: DataFrame | None = None, deletes: DataFrame | None = None, checks: list[tuple[dict, str, dict]] = ()) -> tuple[Written, DataFrame]:
-    """All or nothing: the write, whose table is the old one unless all checks (key, condition, values) hold, and the reasons in order."""
+    """All or nothing: the write, whose table is the old one unless all checks (key, condition, values) hold, and the reasons in
+    order. The items of all checks come from one join with their broadcast keys."""
     if len(checks) > MAX_TRANSACTION:
         raise ValidationError(f"a transaction has at most {MAX_TRANSACTION} actions")
-    reasons = None
     spark = table.df.sparkSession
-    for i, (key, text, values) in enumerate(checks):
-        met = total(Compiler(Typed(table.df, table.sets)).condition(condition_node(text, None, values)))
-        absent = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.df.schema.fields])
-        item = table.df
-        for k, v in key.items():
-            item = item.filter(F.col(k) == literal(v))
-        one = item.limit(1).select(F.lit(0).alias("_o"), met.alias("_m")).unionByName(absent.select(F.lit(1).alias("_o"), met.alias("_m"))).agg(F.min_by("_m", "_o").alias("ok"))
-        row = one.select(F.lit(i).alias("pos"), "ok", F.when(F.col("ok"), "None").otherwise("ConditionalCheckFailed").alias("reason"))
-        reasons = row if reasons is None else reasons.unionByName(row)
-    done = batch_write(table, puts, deletes)
-    if reasons is None:
+    done = batch_write(table, puts, deletes, MAX_TRANSACTION - len(checks)) if puts is not None or deletes is not None else Written(table.df, _apply(table, _paired(table, table.df.select(*table.keys).limit(0)), F.lit(None).cast(table.df.select(F.struct("*")).schema[0].dataType), None).changes)
+    if not checks:
         return done, spark.createDataFrame([], "pos int, ok boolean, reason string")
+    if len({tuple(key[k] for k in table.keys) for key, _, _ in checks}) < len(checks):
+        raise ValidationError("a transaction names an item once")
+    keys = T.StructType([T.StructField("pos", T.IntegerType()), *[T.StructField(f"k_{f.name}", f.dataType) for f in table.df.select(*table.keys).schema]])
+    asked = spark.createDataFrame([(i, *[key[k] for k in table.keys]) for i, (key, _, _) in enumerate(checks)], keys)
+    found = table.df.join(F.broadcast(asked), [F.col(k) == F.col(f"k_{k}") for k in table.keys]).drop(*[f"k_{k}" for k in table.keys])
+    items = asked.select(F.col("pos").alias("_p")).join(found, F.col("_p") == F.col("pos"), "left")
+    compiler, met = Compiler(Typed(items, table.sets)), F.lit(False)
+    for i, (_, text, values) in enumerate(checks):
+        met = F.when(F.col("_p") == i, total(compiler.condition(condition_node(text, None, values)))).otherwise(met)
+    reasons = items.select(F.col("_p").alias("pos"), met.alias("ok")).withColumn("reason", F.when(F.col("ok"), "None").otherwise("ConditionalCheckFailed"))
     # At most MAX_TRANSACTION checks: one small job decides.
     if reasons.agg(F.bool_and("ok")).first()[0]:
         return done, reasons
