@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 ORDER, SAMPLE = 4, 500
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 FIRST, LAST = 2, 3
 #: Words are runs of letters: digits and signs tell nothing of a language.
 _LETTERS = re.compile(r"[^\W\d_]+")

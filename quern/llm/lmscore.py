@@ -37,6 +37,10 @@ HOT = 50_000
 ROUNDS = 4
 #: Pieces of more characters are rare at any one place of a word, and are added place by place.
 DENSE = 4
+#: Characters of a word, with its mark, up to which no probability underflows: 20 times the 4 bytes of the longest character at most.
+SHORT = 18
+#: Words that go through a lattice at a time: those of one length then fill its arrays.
+TOGETHER = 100_000
 #: Classes with models of their own.
 CLASSES = 8
 START = "▁"
@@ -171,6 +175,42 @@ class Lattice:
             out += np.bincount(row, weights[w] * np.exp(np.minimum(0.0, p)), len(out))
         return out
 
+    def short_uses(self, edges: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
+        """uses() of words of at most SHORT characters, whose probabilities fit into doubles without logarithms."""
+        n, length, width = edges.shape
+        few, none, table = min(DENSE, width), len(self.table) - 1, np.exp(self.table[:, k])
+        alpha, beta = np.zeros((n, width + length)), np.zeros((n, length + width))
+        alpha[:, width - 1] = beta[:, length] = 1.0
+        far = []
+        for d in range(few, min(width, length)):
+            w, i = np.nonzero(edges[:, d:, d] != none)
+            order = np.argsort(i, kind="stable")
+            w, i = w[order], i[order]
+            far.append((d, w, table[edges[w, i + d, d]], np.searchsorted(i, np.arange(length + 1))))
+        near = table[edges[:, :, :few]]
+        for j in range(length):
+            alpha[:, j + width] = np.einsum("nd,nd->n", alpha[:, j + width - few : j + width][:, ::-1], near[:, j])
+            for d, w, p, cut in far:
+                if j >= d:
+                    at = slice(cut[j - d], cut[j - d + 1])
+                    alpha[w[at], j + width] += alpha[w[at], j - d + width - 1] * p[at]
+        for i in range(length - 1, -1, -1):
+            for d in range(min(few, length - i)):
+                beta[:, i] += near[:, i + d, d] * beta[:, i + d + 1]
+            for d, w, p, cut in far:
+                if i + d < length:
+                    at = slice(cut[i], cut[i + 1])
+                    beta[w[at], i] += p[at] * beta[w[at], i + d + 1]
+        alpha = alpha[:, width - 1 :]
+        share, out = weights / alpha[:, length], np.zeros(len(self.table))
+        for d in range(min(few, length)):
+            p = (alpha[:, : length - d] * near[:, d:, d] * beta[:, d + 1 : length + 1]) * share[:, None]
+            out += np.bincount(edges[:, d:, d].ravel(), p.ravel(), len(out))
+        for d, w, p, cut in far:
+            i = np.repeat(np.arange(length), np.diff(cut))
+            out += np.bincount(edges[w, i + d, d], alpha[w, i] * p * beta[w, i + d + 1] * share[w], len(out))
+        return out
+
     def expected(self, words: list[str], weights: np.ndarray | None = None) -> np.ndarray:
         """Expected uses of each piece in the words under the first model; or, with weights [word, model], [piece, model]."""
         by = np.ones((len(words), 1)) if weights is None else weights
@@ -180,10 +220,24 @@ class Lattice:
             for k in range(by.shape[1]):
                 mine = np.flatnonzero(some[:, k])
                 if len(mine):
-                    out[:, k] += self.uses(edges[mine], k, some[mine, k])
+                    uses = self.short_uses if edges.shape[1] <= SHORT else self.uses
+                    out[:, k] += uses(edges if len(mine) == len(some) else edges[mine], k, some[mine, k])
         return out[: len(self.ids), 0] if weights is None else out[: len(self.ids)]
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in groups of TOGETHER rows or more."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def vocabulary(path: str) -> dict[str, float]:
     """All pieces of a sentencepiece model without an inner mark, with the scores the model gives them; a score is
     minus a piece's rank, so its weight falls as the inverse of it."""
@@ -210,7 +264,7 @@ def fit(weights: DataFrame, classes: list[str], pieces: dict[str, float], rounds
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(names), len(classes)))
-            for b in batches:
+            for b in together(batches):
                 by = np.stack([b.column(1 + j).to_numpy() for j in range(len(classes))], axis=1).astype(float)
                 total += shared.value.expected(b.column(0).to_pylist(), by)
             some = np.flatnonzero(total.any(axis=1))
@@ -321,10 +375,10 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame
     bests = [f"b{j}" for j in range(J)]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in together(batches):
             c = np.stack([b.column(1 + k).to_numpy() for k in used], axis=1).astype(float)
             base, best = model.value.words(b.column(0).to_pylist(), c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.sum(axis=1) > 0), pa.array(base), *(pa.array(np.ascontiguousarray(best[:, j])) for j in range(J))], names=["word", "known", "base", *bests])
+            yield pa.RecordBatch.from_arrays([b.column(0).chunk(0), pa.array(c.sum(axis=1) > 0), pa.array(base), *(pa.array(np.ascontiguousarray(best[:, j])) for j in range(J))], names=["word", "known", "base", *bests])
 
     least = max(2, math.ceil((s["every"] or 0) / HOT))
     names = "word string, known boolean, base double, " + ", ".join(f"{x} double" for x in bests)

@@ -66,7 +66,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + STEP_BYTES // 4
             both = []
             for x in (_BASE, pow(_BASE, -1, 1 << 64)):
                 step = np.full(size, x, np.uint64)
@@ -167,7 +167,7 @@ def represent(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        for b in batches:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             ids = b.column(0).to_pylist()
             for at, sets in _steps(b.column(1).to_pylist()):
                 rows = []

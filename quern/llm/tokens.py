@@ -21,7 +21,10 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECES = re.compile(rf" ?[{_LETTERS}]+(?![^ \n.,;:!?|#%&$*()])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 _RUN = re.compile(rf" ?[{_LETTERS}]+")
 #: Words remembered by a worker in each of two generations; results don't depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Pieces of other words remembered.
+PIECES = 50_000
+_MARKS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,7 +45,7 @@ class Encoder:
         gc.set_threshold(200_000, 20, 50)
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.kind, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.uint32, "I")
         self.letters = _byte_letters()
         self.blank = self.letters[32]
@@ -53,34 +56,41 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _run(self, text: str) -> bytes:
+        """The ids of a run of Latin letters, maybe after a blank, straight from the merging model."""
+        text = text.lower() if self.lower else text
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        elif text[0] == " ":
+            text = self.blank + text[1:]
+        return array(self.code, [t.id for t in self.tokenize(text)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) > REMEMBERED:
+            if len(self.pieces) > PIECES:
                 self.pieces.clear()
-            if not _RUN.fullmatch(piece):
-                got = self._whole(piece)
-            else:
-                text = piece.lower() if self.lower else piece
-                if not text.isascii():
-                    text = text.encode().decode("latin-1").translate(self.letters)
-                elif text[0] == " ":
-                    text = self.blank + text[1:]
-                got = array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
-            self.pieces[piece] = got
+            got = self.pieces[piece] = self._run(piece) if _RUN.fullmatch(piece) else self._whole(piece)
+        return got
+
+    def _letters(self, word: str) -> bytes:
+        """The ids of a word of Latin letters after a blank, which is remembered as a word."""
+        got = self.words.get(word) or self.older.get(word)
+        if got is None:
+            got = self.words[word] = self._run(word if self.lower else " " + word)
         return got
 
     def _word(self, word: str) -> bytes:
         """The ids of a word after a blank, from the older generation or made anew."""
         got = self.older.get(word)
         if got is None:
-            own = word if self.lower else " " + word
-            if word.isascii() and word.isalpha():
-                got = self._piece(own)
-            elif word.isascii() and word[-1:] in ".,;:!?" and word[:-1].isalpha():
-                got = self._piece(own[:-1]) + self._piece(word[-1])
+            head = word[:-1]
+            if word.isalpha() and (word.isascii() or _RUN.fullmatch(word)):
+                return self._letters(word)
+            if word[-1:] in _MARKS and head.isalpha() and (head.isascii() or _RUN.fullmatch(head)):
+                got = self._letters(head) + self._piece(word[-1])
             else:
-                got = b"".join([self._piece(p) for p in _PIECES.findall(own)])
+                got = b"".join([self._piece(p) for p in _PIECES.findall(word if self.lower else " " + word)])
         self.words[word] = got
         return got
 
