@@ -6,7 +6,7 @@ after its first character, so no control string survives in user text and unesca
 
 Defined cases: a null text or role is the empty string; a null turn sorts first; rows of one turn are ordered by role,
 then text; repeated rows are all kept; an empty table gives no rows; an unknown role or a wrong order leaves the
-conversation formatted with valid = false; columns other than the four named are ignored. A conversation is one string
+conversation formatted with valid = false; a very long text is one string like any other; columns other than the four named are ignored. A conversation is one string
 and so one row: its turns are gathered on one task, as the format itself demands.
 """
 
@@ -101,7 +101,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = format_chats(turns)
     back = out.withColumn("parsed", parse_chats(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     flat = F.concat_ws("", F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    return back.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return back.select("conv_id", F.size("parsed").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
 
 
 def op6_sql() -> str:
@@ -114,5 +114,6 @@ def op6_sql() -> str:
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS flat,
   coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+  regexp_full_match(string_agg(role || ';', '' ORDER BY turn, role, text), '(system;)?(user;assistant;)+') AS valid,
   sum(length(role) + length(text) + {marks} + {extra('text')}) AS formatted_chars FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g"""
+SELECT conv_id, n_turns, sha256(flat) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, valid FROM g"""

@@ -8,7 +8,7 @@ A digest that very many documents share is one row of the joined side: what is r
 few short columns before the join, so copies move no payload.
 
 Defined cases: null html gives an empty sequence; a reference without stored media keeps its position with null
-columns; equal media are one item; empty tables give no rows; further columns are ignored.
+columns; a reference outside a figure has its alt text for a caption; a very long text is one item; equal media are one item; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +33,15 @@ ITEMS = "array<struct<pos:int,kind:string,text:string,ref:string,caption:string>
 
 
 class _Interleaved(HTMLParser):
-    """Blocks of text and media references in page order; a figure's caption goes to its reference."""
+    """Blocks of text and media references in page order; a figure's caption goes to the references within it, wherever it stands."""
 
     BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "td", "blockquote", "pre", "figure", "body", "html"}
     SILENT = {"script", "style", "head", "template"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.silent, self.caption, self.figure = [], [], 0, None, None
+        # figures: of each open figure, its media items and its caption.
+        self.items, self.text, self.silent, self.caption, self.figures = [], [], 0, None, []
 
     def _flush(self):
         text = " ".join("".join(self.text).split())
@@ -48,6 +49,17 @@ class _Interleaved(HTMLParser):
             self.items.append({"pos": len(self.items), "kind": "text", "text": text, "ref": None, "caption": None})
         self.text = []
 
+    def _end_caption(self):
+        if self.caption is not None:
+            self.figures[-1][1] = " ".join("".join(self.caption).split())
+            self.caption = None
+
+    def _end_figure(self):
+        self._end_caption()
+        media, caption = self.figures.pop()
+        for item in media:
+            item["caption"] = caption or item["caption"]
+
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
             self.silent += 1
@@ -56,36 +68,42 @@ class _Interleaved(HTMLParser):
             got = dict(attrs)
             item = {"pos": len(self.items), "kind": "media", "text": None, "ref": got.get("src"), "caption": got.get("alt")}
             self.items.append(item)
-            self.figure = item
-        elif tag == "figcaption":
+            if self.figures:
+                self.figures[-1][0].append(item)
+        elif tag == "figcaption" and self.figures:
             self._flush()
             self.caption = []
         elif tag in self.BLOCKS:
             self._flush()
+            if tag == "figure":
+                self.figures.append([[], None])
 
     def handle_endtag(self, tag):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            if self.figure is not None:
-                self.figure["caption"] = text
-            self.caption = None
+        elif tag == "figcaption" and self.figures:
+            self._end_caption()
         elif tag in self.BLOCKS:
             self._flush()
-            if tag == "figure":
-                self.figure = None
+            if tag == "figure" and self.figures:
+                self._end_figure()
 
     def handle_data(self, data):
         if not self.silent:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def finish(self):
+        """What a cut-off page leaves open ends with it."""
+        self._flush()
+        while self.figures:
+            self._end_figure()
+
 
 def interleaved(html: str | None) -> list[dict]:
     p = _Interleaved()
     p.feed(html or "")
     p.close()
-    p._flush()
+    p.finish()
     return p.items
 
 

@@ -301,6 +301,13 @@ def test_media(spark, docs, edge, empty):
     assert [(i["kind"], i["text"], i["ref"], i["caption"]) for i in items] == [("text", "one", None, None), ("media", None, "media:x", None), ("text", "two", None, None), ("media", None, "y", "c & d")]
 
 
+def test_captions_stay_with_their_figure():
+    page = "<img src=a alt=one><figure><figcaption>cap of b</figcaption><img src=b></figure><p>t</p><figure><img src=c><img src=d alt=x><figcaption>both</figcaption></figure><figcaption>loose</figcaption><figure><img src=e alt=own></figure><figure><img src=f><figcaption>cut"
+    items = media.interleaved(page)
+    assert [(i["ref"], i["caption"]) for i in items if i["kind"] == "media"] == [("a", "one"), ("b", "cap of b"), ("c", "both"), ("d", "both"), ("e", "own"), ("f", "cut")]
+    assert [i["text"] for i in items if i["kind"] == "text"] == ["t", "loose"] and [i["pos"] for i in items] == list(range(len(items)))
+
+
 def test_extract(spark):
     page = "<html><head><title>T</title><script>x('</p>')</script></head><body><nav><a href=/>Home</a></nav><article><h1>Head &amp; line</h1><p>One.<p>Two <b>bold<br>more</p><div class='ad'>Buy</div><aside>Side</aside></article><section id=comments><p>Reader says a long thing here, and it goes on.</p></section><footer>&copy; x</footer>"
     assert extract.main_text(page) == "Head & line\nOne.\nTwo bold more"
