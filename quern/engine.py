@@ -78,6 +78,19 @@ class Engine:
             self._keep(partiql.Parser(text, parameters).statement().table, got[0])
         return got
 
+    def partiql_transaction(self, statements: list[tuple[str, list]]) -> list:
+        """Results or reasons in order; the tables change only if every statement holds."""
+        now, out = partiql.transaction(self.tables, statements)
+        if now is not None:
+            self.tables = dict(now)
+        return out
+
+    def list_streams(self, label: str, **kw) -> tuple[list[dict], str | None]:
+        return changes.list_streams(self.tables, label, **kw)
+
+    def describe_stream(self, name: str, label: str, log=None) -> dict:
+        return changes.describe_stream(self._table(name), label, log)
+
     def expire(self, name: str, now: int):
         rest, removed = changes.expire(self._table(name), now)
         self.tables[name] = self._table(name).with_df(rest)

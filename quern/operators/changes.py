@@ -49,6 +49,26 @@ def sequence(sharded: DataFrame, order: tuple[str, ...], batch: int = 0) -> Data
     return sharded.withColumn("sequence", F.lpad(number.cast("decimal(21,0)").cast("string"), 21, "0"))
 
 
+def stream_name(table: TableDef, label: str) -> str:
+    return f"{table.name}/stream/{label}"
+
+
+def list_streams(tables: dict[str, TableDef], label: str, name: str | None = None, limit: int = 100, after: str | None = None) -> tuple[list[dict], str | None]:
+    """Streams of the tables, in order of name, and the stream to go on after if there are more."""
+    if not 1 <= limit <= 100:
+        raise ValidationError("Limit is 1 to 100")
+    found = sorted(stream_name(t, label) for n, t in tables.items() if name in (None, n))
+    found = [x for x in found if after is None or x > after]
+    return [{"Stream": x, "TableName": x.split("/")[0], "StreamLabel": label} for x in found[:limit]], found[limit - 1] if len(found) > limit else None
+
+
+def describe_stream(table: TableDef, label: str, log: DataFrame | None = None) -> dict:
+    """View type, keys, and the shards with the first and last sequence number that the log has in each."""
+    spans = {} if log is None else {r["shard"]: (r["a"], r["b"]) for r in log.groupBy("shard").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b")).collect()}
+    shards = [{"ShardId": s, "StartingSequenceNumber": spans.get(s, (None, None))[0], "EndingSequenceNumber": spans.get(s, (None, None))[1]} for s in range(SHARDS)]
+    return {"Stream": stream_name(table, label), "TableName": table.name, "StreamViewType": table.view_type, "StreamStatus": "ENABLED", "KeySchema": [(k, "HASH") for k in table.hash] + [(k, "RANGE") for k in table.range], "Shards": shards}
+
+
 def iterator(kind: str, number: str | None = None, latest: str | None = None) -> str:
     """The sequence number after which records are read."""
     if kind == "TRIM_HORIZON":

@@ -33,11 +33,13 @@ class Result:
         return self.page.agg(F.count_if(self.match).alias("count"), F.count("*").alias("scanned_count"))
 
     def last_key(self) -> dict | None:
-        """The key to go on from; a page that its limit ended has one, even at the very end of the table."""
+        """The key to go on from; a page that its limit ended has one, even at the very end of the table. One row is read."""
         if self.limit is None:
             return None
-        rows = self.page.select(*self.keys).collect()  # at most limit rows, in order
-        return rows[-1].asDict() if len(rows) == self.limit else None
+        n = self.page.select(F.lit(1)).count()
+        if n < self.limit:
+            return None
+        return self.page.select(*self.keys).offset(n - 1).first().asDict()
 
     def capacity(self, consistent: bool = False) -> DataFrame:
         return self.page.agg(read_units(F.coalesce(F.sum(item_size(self.page)), F.lit(0)), consistent).alias("capacity_units"))
@@ -140,6 +142,13 @@ def _pick(c: Column, t, rests: list[tuple]) -> Column:
     return F.lit(None)
 
 
+def attributes_to_get(df: DataFrame, names: list[str]) -> DataFrame:
+    """The older projection: top-level attributes, each once however often it is named; one that no item has stays out."""
+    if not names:
+        raise ValidationError("AttributesToGet names at least one attribute")
+    return df.select(*[F.col(f"`{n}`") for n in dict.fromkeys(names) if n in df.columns])
+
+
 def _filtered(df: DataFrame, table: TableDef, order: list[tuple[str, bool]] | None, filter_node, paths, limit, start, keys, select, prefix_page: DataFrame | None = None) -> Result:
     if limit is not None and limit < 1:
         raise ValidationError("Limit is at least 1")
@@ -207,6 +216,8 @@ def query(table: TableDef, key: str, *, index: str | None = None, filter: str |
     order = [(n, forward) for n in dict.fromkeys([*range_, *table.keys])]
     if start and any(start.get(h) != next(c[1][3][1] for c in clauses if c[0] == h) for h in hash_):
         raise ValidationError("the start key lies in another partition")
+    if start and index is None and not range_:
+        df = df.limit(0)  # a partition without a sort key has one item: nothing comes after it
     return _filtered(df, table, order if ordered or limit is not None else None, filter_node, paths, limit, start, keys, select)
 
 

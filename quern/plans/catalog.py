@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions.compile import utf16_length
 from quern.functions.size import item_size, number_bytes, read_units, write_units
 from quern.model import IndexDef, TableDef, VectorIndexDef
-from quern.operators import changes, legacy, metrics, read, vector, write
+from quern.operators import capacity, changes, legacy, metrics, read, vector, write
 from quern.plans import partiql
 
 QUERIES: dict = {}
@@ -233,6 +233,42 @@ def table_size(spark, d):
     return df.agg(F.count("*").alias("items"), F.sum(item_size(df)).alias("bytes"))
 
 
+@register("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 9")
+def attributes_to_get(spark, d):
+    got = read.query(orders(spark, d), "o_custkey = :c", index="by_cust", values={":c": 9})
+    return read.attributes_to_get(got.items, ["o_orderkey", "o_orderstatus", "o_orderkey", "nothing"])
+
+
+@register("SELECT 0 AS n")
+def query_resume_without_range(spark, d):
+    return read.query(customers(spark, d), "c_custkey = :k", values={":k": 3}, start={"c_custkey": 3}).items.agg(F.count("*").alias("n"))
+
+
+@register("""SELECT name, units FROM (
+SELECT 'orders' AS name, count(*)::DOUBLE AS units FROM orders WHERE o_orderstatus = 'O' UNION ALL
+SELECT 'by_cust', count(*)::DOUBLE FROM orders WHERE o_orderstatus = 'O' UNION ALL
+SELECT 'by_status', 2.0 * count(*) FROM orders WHERE o_orderstatus = 'O')""")
+def index_write_units(spark, d):
+    """Every open order closes: its entry by customer changes in place, that by status moves."""
+    t = orders(spark, d)
+    done = write.update(t, t.df.filter("o_orderstatus = 'O'").select("o_orderkey"), "SET o_orderstatus = :f", values={":f": "F"})
+    return capacity.write_capacity(t, done.changes)
+
+
+@register("SELECT 'customer' AS \"table\", count(*) + 3.0 AS units FROM customer WHERE c_nationkey < 10")
+def batch_write_units(spark, d):
+    t = customers(spark, d)
+    one = write.delete(t, t.df.filter("c_nationkey < 10").select("c_custkey"))
+    two = write.delete(t, t.df.filter("c_custkey IN (1, 2, 3)").select("c_custkey"))
+    return capacity.roll_up([("customer", capacity.write_capacity(t, x.changes)) for x in (one, two)])
+
+
+@register("SELECT CASE WHEN c_custkey = 2 THEN 'x' ELSE c_name END AS c_name, c_custkey FROM customer WHERE c_custkey <> 3")
+def partiql_transaction(spark, d):
+    now, _ = partiql.transaction({"customer": customers(spark, d)}, [("UPDATE customer SET c_name = 'x' WHERE c_custkey = 2", []), ("DELETE FROM customer WHERE c_custkey = 3", []), ("EXISTS (SELECT * FROM customer WHERE c_custkey = 4)", [])])
+    return now["customer"].df.select("c_custkey", "c_name")
+
+
 # Metrics
 
 _MINUTE = "SELECT date_trunc('minute', ts) AS minute, event_type, sum(value) AS sum, count(value) AS count, min(value) AS min, max(value) AS max FROM events GROUP BY ALL"

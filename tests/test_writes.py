@@ -146,3 +146,28 @@ def test_vector_ties_and_faults(spark):
     bad = t.with_df(spark.createDataFrame([(1, [1.0], 0)], "id long, v array<float>, g int"))
     with pytest.raises(Exception, match="doesn't have the 2 numbers"):
         vector.search(bad, "i", [0.0, 1.0], 1).collect()
+
+
+def test_transactions_are_all_or_nothing(table):
+    tables = {"customer": table}
+    now, out = partiql.transaction(tables, [("DELETE FROM customer WHERE c_custkey = 3", []), ("EXISTS (SELECT * FROM customer WHERE c_custkey = 99999999)", [])])
+    assert now is None and isinstance(out[1], ConditionFailed)
+    with pytest.raises(ValidationError, match="once"):
+        partiql.transaction(tables, [("DELETE FROM customer WHERE c_custkey = 3", []), ("UPDATE customer SET c_name = 'x' WHERE c_custkey = 3", [])])
+    with pytest.raises(ValidationError, match="reads only"):
+        partiql.transaction(tables, [("SELECT * FROM customer WHERE c_custkey = 3", []), ("DELETE FROM customer WHERE c_custkey = 4", [])])
+
+
+def test_streams_are_listed(table):
+    names = {"customer": table, "b": table.__class__("b", table.df, table.hash)}
+    first, more = changes.list_streams(names, "2024", limit=1)
+    assert first[0]["TableName"] == "b" and [x["TableName"] for x in changes.list_streams(names, "2024", after=more)[0]] == ["customer"]
+    assert len(changes.describe_stream(table, "2024")["Shards"]) == changes.SHARDS
+
+
+def test_last_key_of_a_page(spark, data):
+    from quern.operators import read
+
+    got = read.scan(catalog.customers(spark, data), limit=7)
+    assert got.last_key() == {"c_custkey": sorted(r["c_custkey"] for r in got.items.collect())[-1]}
+    assert read.scan(catalog.customers(spark, data), limit=10_000).last_key() is None
