@@ -125,7 +125,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, lower: bool, end_
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "first_id": pa.array([first], pa.int64()), "n_tokens": pa.array([writer.close()], pa.int64())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(write, "part int, uri string, first_id long, n_tokens long")
+    return rows.mapInArrow(common.tidied(write), "part int, uri string, first_id long, n_tokens long")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("uri", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     n = max(1, manifest.count())
-    return based.repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(n).mapInArrow(common.tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm import common
 
 ORDER, SAMPLE = 4, 500
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 FIRST, LAST = 2, 3
 #: Words are runs of letters: digits and signs tell nothing of a language.
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, training: Column, keep: tuple[str, ...] = (), samp
     # The text goes first; if it is to be kept, a second time under its own name.
     rows = docs.select(F.col("text").alias("_text"), *keep)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{names}{', ' if names else ''}lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(common.tidied(run), f"{names}{', ' if names else ''}lang_pred string, score double, rejected boolean")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

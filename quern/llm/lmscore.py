@@ -270,7 +270,7 @@ def fit(weights: DataFrame, classes: list[str], pieces: dict[str, float], rounds
             some = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(np.ascontiguousarray(total[some, j])) for j in range(len(classes)))], names=["piece", *uses])
 
-        got = weights.filter(sum((F.col(c) for c in classes[1:]), F.col(classes[0])) > 0).select("word", *classes).mapInArrow(run, "piece long, " + ", ".join(f"{x} double" for x in uses))
+        got = weights.filter(sum((F.col(c) for c in classes[1:]), F.col(classes[0])) > 0).select("word", *classes).mapInArrow(common.tidied(run), "piece long, " + ", ".join(f"{x} double" for x in uses))
         got = got.groupBy("piece").agg(*[F.sum(x).alias(x) for x in uses]).toArrow()
         total = np.full((len(names), len(classes)), 1e-3)
         total[got.column("piece").to_numpy()] += np.stack([got.column(x).to_numpy() for x in uses], axis=1)
@@ -313,7 +313,7 @@ def count_words(docs: DataFrame, modulus: int, labels: list[str]) -> DataFrame:
                     train, every = [Counter() for _ in range(K)], Counter()
         yield out()
 
-    got = docs.select("doc_id", "text", "lang").mapInArrow(run, "word string, " + ", ".join(f"`{x}` long" for x in names[1:]))
+    got = docs.select("doc_id", "text", "lang").mapInArrow(common.tidied(run), "word string, " + ", ".join(f"`{x}` long" for x in names[1:]))
     return got.groupBy("word").agg(*[F.sum(x).alias(x) for x in names[1:]])
 
 
@@ -382,10 +382,10 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame
 
     least = max(2, math.ceil((s["every"] or 0) / HOT))
     names = "word string, known boolean, base double, " + ", ".join(f"{x} double" for x in bests)
-    hot = {r["word"].encode(): (float(r["known"]), r["base"], *(r[x] for x in bests)) for r in counts.filter(F.col("all") >= least).select("word", *cs).mapInArrow(rate, names).toLocalIterator()}
+    hot = {r["word"].encode(): (float(r["known"]), r["base"], *(r[x] for x in bests)) for r in counts.filter(F.col("all") >= least).select("word", *cs).mapInArrow(common.tidied(rate), names).toLocalIterator()}
     table = np.array(list(hot.values()), float).reshape(-1, 2 + J)
     shared = spark.sparkContext.broadcast(({w: i for i, w in enumerate(hot)}, table))
-    cold = counts.filter(F.col("all") < least).select("word", *cs).mapInArrow(rate, names)
+    cold = counts.filter(F.col("all") < least).select("word", *cs).mapInArrow(common.tidied(rate), names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, values = shared.value
@@ -409,7 +409,7 @@ def score(docs: DataFrame, vocabulary_path: str, modulus: int = 10) -> DataFrame
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "words", "times", "n_tokens", "n_known", "base", *bests])
 
     # A document's other words lie beside its sums, so they are written once, without an id for each.
-    parts = common.settle(docs.select("doc_id", "text").mapInArrow(split, "doc_id long, h long, words array<string>, times array<int>, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in bests)), "lm-parts")
+    parts = common.settle(docs.select("doc_id", "text").mapInArrow(common.tidied(split), "doc_id long, h long, words array<string>, times array<int>, n_tokens long, n_known long, base double, " + ", ".join(f"{x} double" for x in bests)), "lm-parts")
     sums = parts.select("doc_id", "h", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", *bests)
     joined = parts.select("doc_id", "h", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "h", F.col("x.words").alias("word"), F.col("x.times").alias("n")).join(cold, "word")
     rest = joined.select("doc_id", "h", F.lit(0).alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("known"), F.col("n").cast("long")).otherwise(F.lit(0).cast("long")).alias("n_known"), *[(F.col("n") * F.col(x)).alias(x) for x in ("base", *bests)])

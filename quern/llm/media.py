@@ -115,7 +115,7 @@ def parse(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([interleaved(h) for h in b.column(1).to_pylist()], kind)], names=["doc_id", "items"])
 
-    return pages.select("doc_id", "html").mapInArrow(run, f"doc_id long, items {ITEMS}")
+    return pages.select("doc_id", "html").mapInArrow(common.tidied(run), f"doc_id long, items {ITEMS}")
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                     pages.append(f'<article><figure><img src="media:{digests[-1]}" width="{SIDE}" height="{whole // SIDE}"><figcaption>{caption}</figcaption></figure></article>')
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(pages), pa.array(digests), pa.array(stored, pa.binary())], names=["doc_id", "html", "digest", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, html string, digest string, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidied(run), "doc_id long, html string, digest string, media binary")
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def describe(media: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-    return media.select("media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string").dropDuplicates(["digest"])
+    return media.select("media").mapInArrow(common.tidied(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string").dropDuplicates(["digest"])
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

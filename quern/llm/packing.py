@@ -163,7 +163,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = U
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "task", "rank"])
 
     names = ", ".join(f"{x} long" for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "task", "rank"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidied(pieces), names)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int = UNIT, end_id: int = END) -> DataFrame:
@@ -192,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, unit: int =
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(slot)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
     names = ", ".join(f"{x} long" for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"))
-    placed = ranked.mapInArrow(assign, names)
+    placed = ranked.mapInArrow(common.tidied(assign), names)
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"))
 

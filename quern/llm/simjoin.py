@@ -178,7 +178,7 @@ def represent(docs: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "rid", "n", "tokens", "sketch", "nodes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, rid long, n int, tokens binary, sketch binary, nodes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidied(run), "doc_id long, rid long, n int, tokens binary, sketch binary, nodes array<long>")
 
 
 def further_nodes(rows: DataFrame, first: int) -> DataFrame:
@@ -189,7 +189,7 @@ def further_nodes(rows: DataFrame, first: int) -> DataFrame:
             nodes = [chosen(np.frombuffer(t, "<u4"), first, RUNS) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.list_(pa.int64()))], names=["rid", "nodes"])
 
-    return rows.select("rid", "tokens").mapInArrow(run, "rid long, nodes array<long>")
+    return rows.select("rid", "tokens").mapInArrow(common.tidied(run), "rid long, nodes array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -251,7 +251,7 @@ def _compare_small(rows: DataFrame) -> DataFrame:
             far = np.flatnonzero(label != np.arange(len(node)))
             yield pa.RecordBatch.from_arrays([pa.array(rid[far]), pa.array(rid[label[far]])], names=["a", "b"])
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def _descend(rows: DataFrame, depth: int) -> DataFrame:
@@ -269,7 +269,7 @@ def _descend(rows: DataFrame, depth: int) -> DataFrame:
                 i, j = np.nonzero(h < limit)
                 yield pa.RecordBatch.from_arrays([pa.array(h[i, j].astype(np.int64)), *[t.column(c).take(pa.array(i)).combine_chunks() for c in ("rid", "n", "sketch")]], names=["node", "rid", "n", "sketch"])
 
-    return rows.select("node", "rid", "n", "sketch").mapInArrow(run, "node long, rid long, n int, sketch binary")
+    return rows.select("node", "rid", "n", "sketch").mapInArrow(common.tidied(run), "node long, rid long, n int, sketch binary")
 
 
 def _blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
                     far = np.flatnonzero(label != np.arange(len(ids)))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def candidates(reps: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def recall(reps: DataFrame, group: DataFrame) -> float:
                 together += int((root[hit] == roots[i]).sum())
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([together], pa.int64())], names=["total", "together"])
 
-    got = rows.mapInArrow(run, "total long, together long").agg(F.sum("total").alias("t"), F.sum("together").alias("g")).first()
+    got = rows.mapInArrow(common.tidied(run), "total long, together long").agg(F.sum("total").alias("t"), F.sum("together").alias("g")).first()
     return got["g"] / got["t"] if got["t"] else 1.0
 
 
@@ -412,7 +412,7 @@ def _verify(rows: DataFrame) -> DataFrame:
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int64))], names=["rid", "root", "links"])
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, "rid long, root long, links long")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "rid long, root long, links long")
 
 
 def set_id(text: Column) -> Column:

@@ -9,7 +9,6 @@ blanks or a special token's string go to the library whole.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from array import array
@@ -21,7 +20,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PIECES = re.compile(rf" ?[{_LETTERS}]+(?![^ \n.,;:!?|#%&$*()])| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 _RUN = re.compile(rf" ?[{_LETTERS}]+")
 #: Words remembered by a worker in each of two generations; results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Pieces of other words remembered.
 PIECES = 50_000
 _MARKS = frozenset(".,;:!?")
@@ -41,8 +40,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        # Short-lived tokens would else set off a collection every few hundred words.
-        gc.set_threshold(200_000, 20, 50)
 
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self.tokenize = self.tokenizer.model.tokenize
