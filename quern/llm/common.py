@@ -73,9 +73,17 @@ def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
 
 
+#: Rows of an Arrow batch, instead of Spark's 10,000: of whole texts those are tens of MB in the executor and again in the worker.
+BATCH_ROWS = 1024
+
+
 def tidied(run):
     """A function over batches after whose task the worker gives freed memory back: workers are used again by later stages,
-    and what allocators keep for themselves would add up."""
+    and what allocators keep for themselves would add up. Where the session has Spark's own number of rows a batch, it gets
+    BATCH_ROWS."""
+    spark, rows = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
