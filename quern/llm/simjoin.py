@@ -7,9 +7,9 @@ are compared by brute force on minhash sketches. Larger ones are split again, on
 times; what then still is larger holds sets that agree nearly everywhere, and is compared in blocks.
 
 Sketch matches well below the threshold (further below for small sets) give candidate classes (connected components). After every RUNS
-runs the recall is measured: QUERIES representatives, drawn by hash, are compared with all by brute force, and runs go on, each with
-random numbers of its own, until TARGET of the pairs found so lie in one candidate class. Within the classes every pair is checked
-exactly, in blocks, on the whole sets: this gives each text its number of links and the final classes.
+runs the recall is measured: QUERIES representatives, drawn by hash, are compared with all by brute force on sketches, what these find
+on whole sets, and runs go on, each with random numbers of its own, until TARGET of the pairs found so lie in one candidate class.
+Within the classes every pair is checked exactly, in blocks, on the whole sets: this gives each text its number of links and the final classes.
 
 Defined cases: a null text or one without words has the empty set, and all such texts are one class; a text of fewer than five words is
 one shingle; a very long text is one set, whatever its size, and blocks hold fewer of such; similarity 1 links texts that differ in white
@@ -327,28 +327,47 @@ def candidates(reps: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.unionByName(_compare_blocks(_blocked(large, "node", sizes, BLOCK)))
 
 
-def recall(reps: DataFrame, group: DataFrame) -> float:
-    """The share of pairs alike by their sketches that lie in one class of group(node, root): QUERIES of reps(rid, n, sketch), drawn
-    by hash, against all others by brute force. 1 if there is no such pair."""
-    rows = reps.join(group, F.col("rid") == F.col("node"), "left").select("rid", "sketch", F.coalesce("root", "rid").alias("root"))
-    asked = reps.orderBy(F.xxhash64(F.lit("query"), "rid")).limit(QUERIES).select("rid")
-    asked = rows.join(F.broadcast(asked), "rid").collect()
+def recall(reps: DataFrame, rows: DataFrame, group: DataFrame) -> float:
+    """The share of pairs alike that lie in one class of group(node, root): QUERIES of reps(rid, n, sketch), drawn by hash, against
+    all others by brute force on the sketches; what these find is checked on the tokens of rows(rid, tokens), as sketches of few
+    tokens may agree where no token does, which no run would ever tie. 1 if there is no such pair."""
+    classed = reps.join(group, F.col("rid") == F.col("node"), "left").select("rid", "n", "sketch", F.coalesce("root", "rid").alias("root"))
+    drawn = reps.orderBy(F.xxhash64(F.lit("query"), "rid")).limit(QUERIES).select("rid")
+    asked = classed.join(F.broadcast(drawn), "rid").collect()
     q = np.frombuffer(b"".join(bytes(r["sketch"]) for r in asked), np.uint8).reshape(-1, SKETCH)
-    ids, roots = np.array([r["rid"] for r in asked], np.int64), np.array([r["root"] for r in asked], np.int64)
+    ids, roots, least = np.array([r["rid"] for r in asked], np.int64), np.array([r["root"] for r in asked], np.int64), loose(np.array([r["n"] for r in asked]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = together = 0
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            rid, s, root = b.column(0).to_numpy(), _bytes(pa.chunked_array([b.column(1)]), SKETCH), b.column(2).to_numpy()
+            rid, root, limit = b.column(0).to_numpy(), b.column(3).to_numpy(), loose(b.column(1).to_numpy())
+            s, found = _bytes(pa.chunked_array([b.column(2)]), SKETCH), []
             for i in range(len(ids)):
-                hit = np.flatnonzero(((s == q[i]).sum(axis=1) >= THRESHOLD * SKETCH) & (rid != ids[i]))
-                total += len(hit)
-                together += int((root[hit] == roots[i]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([together], pa.int64())], names=["total", "together"])
+                hit = np.flatnonzero(((s == q[i]).mean(axis=1) >= np.minimum(limit, least[i])) & (rid != ids[i]))
+                if len(hit):
+                    found.append((np.full(len(hit), ids[i]), rid[hit], root[hit] == roots[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query", "other", "together"])
+
+    pairs = common.settle(classed.mapInArrow(common.tidied(near), "query long, other long, together boolean"), "join-asked")
+    own = rows.join(F.broadcast(drawn), "rid").groupBy("rid").agg(F.first("tokens").alias("tokens")).collect()
+    sets = {r["rid"]: np.frombuffer(bytes(r["tokens"]), "<u4") for r in own}
 
-    got = rows.mapInArrow(common.tidied(run), "total long, together long").agg(F.sum("total").alias("t"), F.sum("together").alias("g")).first()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for k, (query, tokens) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                x, y = sets[query], np.frombuffer(tokens, "<u4")
+                if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
+                    o = len(np.intersect1d(x, y, assume_unique=True))
+                    if (1 + THRESHOLD) * o + 1e-3 >= THRESHOLD * (len(x) + len(y)):
+                        keep.append(k)
+            yield b.select(["query", "other", "together"]).take(pa.array(keep, pa.int64()))
+
+    held = rows.select("rid", "tokens").join(common.small(pairs), F.col("rid") == F.col("other")).select("query", "other", "together", "tokens")
+    alike = held.mapInArrow(common.tidied(check), "query long, other long, together boolean").distinct()
+    got = alike.agg(F.count("*").alias("t"), F.count_if("together").alias("g")).first()
     return got["g"] / got["t"] if got["t"] else 1.0
 
 
@@ -438,7 +457,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = candidates(reps, nodes)
         tied = common.settle(more if tied is None else tied.unionByName(more), "join-links")
         found = components(tied)
-        if recall(reps, found) >= TARGET:
+        if recall(reps, rows, found) >= TARGET:
             break
         run += RUNS
         nodes = further_nodes(rows.filter("n > 0"), run)

@@ -165,6 +165,30 @@ def test_join_goes_on_until_the_recall(spark, docs, monkeypatch):
     assert calls[-1] >= simjoin.TARGET and len(got) == docs.count()
 
 
+def test_join_ends_on_sketches_that_agree_by_chance(spark, monkeypatch):
+    """Sets of one shingle whose sketches are equal though they share no token can't be tied by any run and don't count as missed."""
+    texts = [f"k{i} one" for i in range(300)]
+    kept = [simjoin.sketch(x).tobytes() for x in simjoin.shingles([t.encode() for t in texts])]
+    assert len(set(kept)) < 250
+    calls, real = [], simjoin.recall
+    monkeypatch.setattr(simjoin, "recall", lambda *a: calls.append(real(*a)) or (calls[-1] if len(calls) < 3 else 1.0))
+    near = [" ".join([*(f"w{i}" for i in range(100)), f"x{k}"]) for k in range(3)]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate([*texts, *near])], SCHEMA)
+    got = sorted(tuple(r) for r in simjoin.join(df).collect())
+    assert got == [(i, i, 0) for i in range(300)] + [(i, 300, 2) for i in range(300, 303)]
+    assert calls == [1.0]
+
+
+def test_recall_counts_true_pairs_only(spark):
+    """One pair at the threshold or more lies in two classes, one in one class; a third pair agrees by its sketches alone."""
+    texts = ["a b c d e f g h i j k l m n o", "a b c d e f g h i j k l m n o p", "q r s t u v w x y z 1 2 3 4 5", "q r s t u v w x y z 1 2 3 4 5 6", *(f"k{i} one" for i in range(300))]
+    df = common.settle(simjoin.represent(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)), "test-rows")
+    rid = {r["doc_id"]: r["rid"] for r in df.collect()}
+    group = spark.createDataFrame([(rid[0], rid[0]), (rid[1], rid[0])], "node long, root long")
+    asked = df.filter("doc_id < 104")
+    assert simjoin.recall(asked.select("rid", "n", "sketch"), df, group) == 0.5
+
+
 def _odd_ids(spark):
     """Near duplicates under null ids; different texts under one id and under none; copies of a row."""
     text = lambda p, x=0: " ".join([*(f"{p}{i}" for i in range(80)), f"x{x}"])
