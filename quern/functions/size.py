@@ -12,7 +12,8 @@ _NUMBER = r"^[-+]?([0-9]*)\.?([0-9]*)(?:[eE]([-+]?[0-9]+))?$"
 
 def number_bytes(c: Column) -> Column:
     """One byte, one for each two significant digits before the point and for each two behind it, one for a minus sign; at most
-    21. Zeros around the significant digits don't count, those between them do. Works on the number's text, so on any size."""
+    21. Zeros around the significant digits don't count, those between them do. Works on the number's text, so on any size.
+    NULL has no size: least() alone would take the limit for it."""
     text = c.cast("string")
     whole, part, e = (F.regexp_extract(text, _NUMBER, i) for i in (1, 2, 3))
     digits = F.concat(whole, part)
@@ -23,7 +24,7 @@ def number_bytes(c: Column) -> Column:
     last = first - span + 1
     pairs = lambda n: F.ceil(n / 2)
     halves = F.when((last >= 0) | (first < 0), pairs(span)).otherwise(pairs(first + 1) + pairs(-last))
-    return F.when(span == 0, F.lit(1)).otherwise(F.least(F.lit(21), 1 + halves + F.startswith(text, F.lit("-")).cast("int"))).cast("long")
+    return F.when(span == 0, F.lit(1)).when(span > 0, F.least(F.lit(21), 1 + halves + F.startswith(text, F.lit("-")).cast("int"))).cast("long")
 
 
 def value_bytes(c: Column, t: T.DataType, is_set: bool = False) -> Column:

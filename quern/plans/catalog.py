@@ -201,7 +201,7 @@ def number_sql(c: str) -> str:
 @register(f"SELECT c_custkey, {number_sql('c_custkey')} AS key_bytes, {number_sql('c_acctbal')} AS bal_bytes, {number_sql('(c_acctbal * 1000)')} AS big_bytes, {number_sql('(c_acctbal / 1000)::DECIMAL(18, 6)')} AS small_bytes FROM customer")
 def number_sizes(spark, d):
     b = F.col("c_acctbal")
-    of = {"key_bytes": F.col("c_custkey"), "bal_bytes": b, "big_bytes": (b * 1000).cast("decimal(38,10)"), "small_bytes": (b / 1000).cast("decimal(18,6)")}
+    of = {"key_bytes": F.col("c_custkey"), "bal_bytes": b, "big_bytes": b * 1000, "small_bytes": (b / 1000).cast("decimal(18,6)")}
     return load(spark, d, "customer").select("c_custkey", *[number_bytes(c).alias(n) for n, c in of.items()])
 
 
