@@ -20,13 +20,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: one with the least doc_id, of these one with the least set. Ids don't
     matter otherwise: rows of one id, or without an id, stay if their texts differ."""
-    _, sets = simjoin.classes(docs)
+    rows, sets = simjoin.classes(docs)
     least = F.struct(F.col("least").isNull(), F.col("least"), F.col("rid"))
-    keep = sets.groupBy("root").agg(F.min(least).alias("k")).select(F.col("k.rid").alias("keep_rid"), F.col("k.least").alias("keep_id"))
-    keep = common.settle(keep, "pipeline-keep")
-    got = docs.withColumn("_rid", simjoin.set_id(F.col("text")))
-    got = got.join(common.small(keep), (F.col("_rid") == F.col("keep_rid")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return got.dropDuplicates(["_rid"]).drop("_rid")
+    best = sets.groupBy("root").agg(F.min(least).alias("k")).select(F.col("k.rid").alias("best_rid"), F.col("k.least").alias("best_id"))
+    # Rows of one id and key have one text; only ids and keys are joined, texts stay where they are.
+    keys = rows.groupBy("rid", "doc_id", "key").agg(F.count("*").alias("n"))
+    keep = keys.join(best, (F.col("rid") == F.col("best_rid")) & F.col("doc_id").eqNullSafe(F.col("best_id")))
+    keep = keep.groupBy("rid").agg(F.min(F.struct("key", "n", "doc_id")).alias("k")).select(F.col("rid").alias("keep_rid"), F.col("k.key").alias("keep_key"), F.col("k.doc_id").alias("keep_id"), F.col("k.n").alias("n"))
+    keep = common.settle(keep, "pipeline-keep", repeated=F.max("n"))
+    gone = keys.join(keep, (F.col("rid") == F.col("keep_rid")) & (F.col("key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_anti")
+    gone = common.settle(gone.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), "pipeline-gone")
+    got = docs.withColumn("_key", F.xxhash64("text"))
+    got = got.join(common.small(gone), (F.col("_key") == F.col("gone_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    return (got.dropDuplicates(["doc_id", "_key"]) if (keep._watched["repeated"] or 1) > 1 else got).drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Every text is the set of its five-word shingles. Texts of one set are one representative, so copies cost nothing more.
 In each run a representative follows every token whose random number, drawn from run and token, is below BRANCH / (threshold * size):
-sets with the wanted similarity share a chosen token with high probability. Nodes with one representative end. Nodes of at most SMALL
-are compared by brute force on minhash sketches. Larger ones are split again, on tokens sampled from the set by minhash, up to DEPTH
-times; what then still is larger holds sets that agree nearly everywhere, and is compared in blocks.
+sets with the wanted similarity share a chosen token with high probability. Nodes with one representative end. In each other node all are
+compared with one of its largest known class, on minhash sketches, and those alike join that class: a large group takes as many links as it has
+rows. Pairs within a class could only tie what is tied. So a node of one class ends, whatever its size; in one of a class and at
+most SMALL others these are compared with all, by brute force. The rest are split again, on tokens sampled from the set by minhash, up
+to DEPTH times; what then still is left is compared in blocks. Links tie classes, not rows.
 
 Sketch matches well below the threshold (further below for small sets) give candidate classes (connected components). After every RUNS
 runs the recall is measured: QUERIES representatives, drawn by hash, are compared with all by brute force on sketches, what these find
@@ -23,9 +25,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -163,22 +164,23 @@ def _steps(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def represent(docs: DataFrame) -> DataFrame:
-    """doc_id, rid (of the shingle set), n (its size), tokens (the set's 32-bit hashes, sorted), sketch, nodes of the first runs."""
+    """doc_id, rid (of the shingle set), n (its size), tokens (the set's 32-bit hashes, sorted), sketch, nodes of the first runs, key
+    (of the text itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
         for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
-            ids = b.column(0).to_pylist()
+            ids, keys = b.column(0).to_pylist(), b.column(2).to_pylist()
             for at, sets in _steps(b.column(1).to_pylist()):
                 rows = []
-                for doc_id, t in zip(ids[at : at + len(sets)], sets, strict=True):
+                for doc_id, key, t in zip(ids[at : at + len(sets)], keys[at : at + len(sets)], sets, strict=True):
                     short = (t >> np.uint64(32)).astype("<u4")
                     short = short[np.append(True, short[1:] != short[:-1])] if len(short) else short
-                    rows.append((doc_id, _rid(t), len(short), short.tobytes(), sketch(t).tobytes() if len(t) else b"", chosen(short, 0, RUNS)))
+                    rows.append((doc_id, _rid(t), len(short), short.tobytes(), sketch(t).tobytes() if len(t) else b"", chosen(short, 0, RUNS), key))
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "rid", "n", "tokens", "sketch", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "rid", "n", "tokens", "sketch", "nodes", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.tidied(run), "doc_id long, rid long, n int, tokens binary, sketch binary, nodes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(common.tidied(run), "doc_id long, rid long, n int, tokens binary, sketch binary, nodes array<long>, key long")
 
 
 def further_nodes(rows: DataFrame, first: int) -> DataFrame:
@@ -229,12 +231,34 @@ def _lowest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def _compare_first(rows: DataFrame) -> DataFrame:
+    """node, size, rid, n, sketch, cls, tied of rows(..., first_cls, first_n, first_sketch): a row alike the first of its node takes
+    over the class of that, and tied is its own class before, else null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, cls, first_cls, first_n = (b.column(k).to_numpy() for k in (3, 5, 6, 7))
+                s, first = (_bytes(pa.chunked_array([b.column(k)]), SKETCH) for k in (4, 8))
+                alike = (cls == first_cls) | ((s == first).mean(axis=1) >= np.minimum(loose(n), loose(first_n)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.where(alike, first_cls, cls)), pa.array(cls, mask=~alike | (cls == first_cls))], names=["node", "size", "rid", "n", "sketch", "cls", "tied"])
+
+    return rows.select("node", "size", "rid", "n", "sketch", "cls", "first_cls", "first_n", "first_sketch").mapInArrow(common.tidied(run), "node long, size long, rid long, n int, sketch binary, cls long, tied long")
+
+
+def _ties(cls: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    """a, b: the classes that labels tie together."""
+    pairs = np.stack([cls, cls[label]], axis=1)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+
 def _compare_small(rows: DataFrame) -> DataFrame:
-    """a, b: links that tie together what brute force finds alike in each node of rows(node, rid, sketch)."""
+    """a, b: links that tie together the classes in which brute force finds rows alike in each node of rows(node, cls, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "node"):
-            node, rid = t.column("node").to_numpy(), t.column("rid").to_numpy()
+            node = t.column("node").to_numpy()
             s, left, right, d = _bytes(t.column("sketch"), SKETCH), [], [], 1
             least = loose(t.column("n").to_numpy())
             while d < len(node):
@@ -247,15 +271,13 @@ def _compare_small(rows: DataFrame) -> DataFrame:
                 right.append(hit + d)
                 d += 1
             i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-            label = _lowest(np.arange(len(node)), i, j)
-            far = np.flatnonzero(label != np.arange(len(node)))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[far]), pa.array(rid[label[far]])], names=["a", "b"])
+            yield _ties(t.column("cls").to_numpy(), _lowest(np.arange(len(node)), i, j))
 
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(common.tidied(run), "a long, b long")
 
 
 def _descend(rows: DataFrame, depth: int) -> DataFrame:
-    """node, rid, sketch of the children that each row of a large node follows, on tokens (position, value) of its sketch."""
+    """node, rid, cls, n, sketch of the children that each row of a large node follows, on tokens (position, value) of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = np.uint64(int(2.0**64 * BRANCH / (THRESHOLD * SKETCH)))
@@ -267,9 +289,9 @@ def _descend(rows: DataFrame, depth: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     h = _mix(_mix(node + np.uint64(depth * int(_M) % 2**64))[:, None] ^ (place + s).astype(np.uint64) * _M)
                 i, j = np.nonzero(h < limit)
-                yield pa.RecordBatch.from_arrays([pa.array(h[i, j].astype(np.int64)), *[t.column(c).take(pa.array(i)).combine_chunks() for c in ("rid", "n", "sketch")]], names=["node", "rid", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i, j].astype(np.int64)), *[t.column(c).take(pa.array(i)).combine_chunks() for c in ("rid", "cls", "n", "sketch")]], names=["node", "rid", "cls", "n", "sketch"])
 
-    return rows.select("node", "rid", "n", "sketch").mapInArrow(common.tidied(run), "node long, rid long, n int, sketch binary")
+    return rows.select("node", "rid", "cls", "n", "sketch").mapInArrow(common.tidied(run), "node long, rid long, cls long, n int, sketch binary")
 
 
 def _blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -285,46 +307,82 @@ def _blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFra
     return r.withColumn("part", F.xxhash64(key, lo, hi)).withColumn("side", (F.col("mine") > F.col("other")).cast("int")).withColumn("same", F.col("mine") == F.col("other")).drop("mine", "other", "blocks")
 
 
+def _compare_rest(rows: DataFrame) -> DataFrame:
+    """a, b: like _compare_small, for nodes of rows(node, size, main, rid, cls, n, sketch) of which few are not of the class main: these go to
+    each block of their node, the others to one, and only pairs with one of these are compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "part"):
+            part = t.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            cls, main, s, least = t.column("cls").to_numpy(), t.column("main").to_numpy(), _bytes(t.column("sketch"), SKETCH), loose(t.column("n").to_numpy())
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+                for i in np.flatnonzero(cls[x:y] != main[x:y]):
+                    hit = np.flatnonzero((s[x:y] == s[x + i]).mean(axis=1) >= np.minimum(least[x + i], least[x:y]))
+                    left.append(np.full(len(hit), i))
+                    right.append(hit)
+                yield _ties(cls[x:y], _lowest(np.arange(y - x), np.concatenate(left), np.concatenate(right)))
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.when(F.col("cls") == F.col("main"), F.array(F.pmod(F.xxhash64("rid", F.lit("block")), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+    rows = rows.withColumn("block", F.explode(block)).withColumn("part", F.xxhash64("node", "block")).select("part", "cls", "main", "n", "sketch")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "a long, b long")
+
+
 def _compare_blocks(rows: DataFrame) -> DataFrame:
-    """a, b: like _compare_small, for rows(part, side, rid, sketch) of pairs of blocks."""
+    """a, b: like _compare_small, for rows(part, side, cls, n, sketch) of pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "part"):
             part = t.column("part").to_numpy()
             cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            rid, s, least = t.column("rid").to_numpy(), _bytes(t.column("sketch"), SKETCH), loose(t.column("n").to_numpy())
+            cls, s, least = t.column("cls").to_numpy(), _bytes(t.column("sketch"), SKETCH), loose(t.column("n").to_numpy())
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                ids, sk, left, right = rid[x:y], s[x:y], [], []
-                for i in range(len(ids) - 1):
+                sk, left, right = s[x:y], [], []
+                for i in range(len(sk) - 1):
                     hit = np.flatnonzero((sk[i + 1 :] == sk[i]).mean(axis=1) >= np.minimum(least[x + i], least[x + i + 1 : y])) + i + 1
                     left.append(np.full(len(hit), i))
                     right.append(hit)
                 if left:
-                    label = _lowest(np.arange(len(ids)), np.concatenate(left), np.concatenate(right))
-                    far = np.flatnonzero(label != np.arange(len(ids)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
+                    yield _ties(cls[x:y], _lowest(np.arange(len(sk)), np.concatenate(left), np.concatenate(right)))
 
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "a long, b long")
 
 
-def candidates(reps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b: links, as sketches see them, that tie together the candidate classes of reps(rid, n, sketch) in the runs of nodes(rid, nodes)."""
-    node = nodes.select("rid", F.explode("nodes").alias("node")).distinct()
-    sizes = node.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = node.join(sizes, "node").join(reps, "rid").select("node", "size", "rid", "n", "sketch")
-    rows = common.settle(rows, "join-nodes")
-    found = _compare_small(rows.filter(F.col("size") <= SMALL))
-    for depth in range(1, DEPTH + 1):
-        large = rows.filter(F.col("size") > SMALL)
-        if large.isEmpty():
-            return found
-        child = common.settle(_descend(large, depth).distinct(), "join-nodes")
-        sizes = child.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        rows = common.settle(child.join(sizes, "node"), "join-nodes")
-        found = found.unionByName(_compare_small(rows.filter(F.col("size") <= SMALL)))
-    large = rows.filter(F.col("size") > SMALL).select("node", "rid", "n", "sketch")
-    sizes = rows.filter(F.col("size") > SMALL).select("node", "size").distinct()
-    return found.unionByName(_compare_blocks(_blocked(large, "node", sizes, BLOCK)))
+def candidates(reps: DataFrame, nodes: DataFrame, group: DataFrame | None = None) -> DataFrame:
+    """node, root: the candidate classes of reps(rid, n, sketch), as sketches see them in the runs of nodes(rid, nodes), on top of
+    those that group(node, root) holds."""
+    rows = nodes.select("rid", F.explode("nodes").alias("node")).distinct()
+    rows = rows.withColumn("cls", F.col("rid")) if group is None else rows.join(group.withColumnsRenamed({"node": "rid"}), "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls"))
+    first_of = reps.select(F.col("rid").alias("first"), F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
+    found = None if group is None else group.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for depth in range(DEPTH + 1):
+        per = rows.groupBy("node", "cls").agg(F.count("*").alias("c"), F.min("rid").alias("first")).groupBy("node")
+        per = per.agg(F.sum("c").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("c", "first", "cls")).alias("k")).filter("kinds > 1")
+        per = per.select("node", "size", F.col("k.first").alias("first"), F.col("k.cls").alias("first_cls")).join(first_of, "first")
+        rows = rows.join(per, "node")
+        rows = common.settle(_compare_first(rows if depth else rows.join(reps, "rid")), "join-nodes")
+        ties = rows.filter("tied is not null").select(F.col("tied").alias("a"), F.col("cls").alias("b"))
+        found = ties if found is None else found.unionByName(ties)
+        if depth == 1:
+            # What lies in one class by other nodes, too, needs no comparison in the nodes that are split further.
+            known = components(common.settle(found.distinct(), "join-links"))
+            found = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            rows = rows.join(known.withColumnsRenamed({"node": "rid"}), "rid", "left").withColumn("cls", F.coalesce("root", "cls")).drop("root")
+        # Nodes of several classes still, with the largest of them and what is not in it.
+        per = rows.groupBy("node", "cls").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "cls")).alias("k"))
+        still = common.settle(per.select("node", F.col("k.cls").alias("main"), (F.col("all") - F.col("k.c")).alias("others")).filter("others > 0"), "join-open")
+        rows = rows.drop("tied").join(common.small(still), "node")
+        found = found.unionByName(_compare_small(rows.filter(F.col("size") <= SMALL))).unionByName(_compare_rest(rows.filter((F.col("size") > SMALL) & (F.col("others") <= SMALL))))
+        large = rows.filter(F.col("others") > SMALL)
+        if still.filter(F.col("others") > SMALL).isEmpty():
+            break
+        if depth < DEPTH:
+            rows = common.settle(_descend(large, depth + 1).distinct(), "join-nodes")
+        else:
+            found = found.unionByName(_compare_blocks(_blocked(large.select("node", "rid", "cls", "n", "sketch"), "node", large.select("node", "size").distinct(), BLOCK)))
+    return components(common.settle(found.distinct(), "join-links"))
 
 
 def recall(reps: DataFrame, rows: DataFrame, group: DataFrame) -> float:
@@ -434,29 +492,17 @@ def _verify(rows: DataFrame) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "rid long, root long, links long")
 
 
-def set_id(text: Column) -> Column:
-    """The rid of a text."""
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_rid(t) for _, sets in _steps(list(texts)) for t in sets], dtype="int64")
-
-    return of(text)
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For each row of docs(doc_id, text): doc_id, rid; and for each set: rid, least (its least doc_id, null if all are), root
+    """For each row of docs(doc_id, text): doc_id, rid, key (xxhash64 of the text); and for each set: rid, least (its least doc_id, null if all are), root
     (one rid of its class), n_links."""
     rows = common.settle(represent(docs), "join-rows")
     copies = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
     copies = common.settle(copies, "join-copies")
     # Rows of one rid agree in all but doc_id, so it doesn't matter which is taken.
     reps = common.settle(rows.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-reps")
-    tied, run, nodes = None, 0, rows.filter("n > 0").select("rid", "nodes")
+    found, run, nodes = None, 0, rows.filter("n > 0").select("rid", "nodes")
     while True:
-        more = candidates(reps, nodes)
-        tied = common.settle(more if tied is None else tied.unionByName(more), "join-links")
-        found = components(tied)
+        found = candidates(reps, nodes, found)
         if recall(reps, rows, found) >= TARGET:
             break
         run += RUNS
@@ -464,15 +510,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = common.settle(found.join(copies.select(F.col("rid").alias("node"), "copies", "n"), "node").withColumnRenamed("node", "rid"), "join-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     sizes = sizes.select("root", F.greatest(F.col("rows"), F.ceil(F.col("items") * BLOCK / BLOCK_ITEMS)).alias("size"))
-    # By shuffle whatever the size of the groups: the work then grows with the table alone. Copies are dropped before it.
-    tokens = rows.filter("n > 0").groupBy(F.col("rid").alias("r")).agg(F.first("tokens").alias("tokens"))
+    # Only sets that have a candidate are moved, and copies are dropped before it.
+    tokens = rows.join(common.small(group.select("rid"), of=group), "rid", "left_semi").groupBy(F.col("rid").alias("r")).agg(F.first("tokens").alias("tokens"))
     member = group.hint("merge").join(tokens.hint("merge"), F.col("r") == F.col("rid")).select("rid", "root", "copies", "tokens")
     checked = common.settle(_verify(_blocked(member, "root", sizes, BLOCK)), "join-checked")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(checked.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     c = copies.join(links, "rid", "left").join(final.withColumnRenamed("node", "rid"), "rid", "left")
     c = common.settle(c.select("rid", F.coalesce("root", "rid").alias("root"), "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-classes")
-    return rows.select("doc_id", "rid"), c
+    return rows.select("doc_id", "rid", "key"), c
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -133,6 +133,37 @@ def test_jaccard_join_of_one_large_group(spark):
     assert sorted((tuple(r) for r in simjoin.join(df).collect()), key=repr) == brute(df)
 
 
+def settled(monkeypatch, seen):
+    """Calls seen(name, table, written table) for each table that is settled."""
+    real = common.settle
+
+    def settle(df, name, **watch):
+        out = real(df, name, **watch)
+        seen(name, df, out)
+        return out
+
+    monkeypatch.setattr(common, "settle", settle)
+
+
+def test_links_of_a_large_group_do_not_multiply(spark, monkeypatch):
+    """A group's candidate links are a few for each of its rows, by however many nodes it goes; strangers that share a passage with it are kept apart."""
+    base, links = [f"w{i}" for i in range(120)], []
+    rows = [(i, " ".join([*base[: i % 110], f"x{i}", *base[i % 110 + 1 :]]), None, None, 0) for i in range(600)]
+    rows += [(i, " ".join([*base[:30], *(f"y{i}-{k}" for k in range(90))]), None, None, 0) for i in range(600, 900)]
+    settled(monkeypatch, lambda name, _, out: links.append(out._watched["rows"]) if name == "join-links" else None)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in simjoin.join(df).collect()), key=repr) == brute(df)
+    assert max(links) <= 4 * len(rows)
+
+
+def test_near_duplicates_leave_texts_in_place(spark, data, docs):
+    """The pipeline's second stage neither hashes nor shuffles the texts again to drop its rows."""
+    import corpus_pipeline as cp
+
+    plan = cp.drop_near_duplicates(spark, docs, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan and "hashpartitioning" not in plan
+
+
 def test_shingles_against_words():
     """Equal words in a row give equal hashes, different ones different hashes, wherever they stand and however they are spaced."""
     texts = ["a b c d e f", "  a  b\tc d e\n", "", " ", "a b c d", "a b c d e f", "b c d e f", "ab c d e f", "é\x1c b c d e", "é b c d e"]
