@@ -102,21 +102,22 @@ def _dual(known: DataFrame, state: DataFrame, limit: float) -> DataFrame:
     raise RuntimeError(f"no multipliers within {TOLERANCE} of the targets after {NEWTON_STEPS} steps; the worst is off by {worst}")
 
 
-def _copies(limit: int, draws: int, mark: str = "") -> tuple[Column, Column]:
-    """Copies after so many draws, and the score by which the next draw takes documents (null: never), from a document's size
-    and u beside its source's state; all names begin with mark."""
+def _copies(rows: DataFrame, limit: int, draws: int, mark: str = "") -> DataFrame:
+    """rows with copies_, the copies after so many draws, and v_, the score by which the next draw takes documents (null: never), from a
+    document's size and u beside its source's state; all names begin with mark. Each step is a projection of its own: written into each
+    other, the expressions would double with every draw."""
     c = lambda name: F.col(mark + name)
     full = c("target") >= c("source_size") * limit
-    r = F.when(c("size") == 0, F.lit(0.0)).when(full, F.lit(float(limit))).otherwise(rate(c("lam"), c("size"), c("scale"), limit))
-    copies = F.floor(r)
+    rows = rows.withColumn(f"{mark}r_", F.when(c("size") == 0, F.lit(0.0)).when(full, F.lit(float(limit))).otherwise(rate(c("lam"), c("size"), c("scale"), limit)))
+    rows = rows.withColumn(f"{mark}copies_", F.floor(c("r_")))
     # In [0, 1], rising with u / fraction; a document without a fraction is never drawn.
-    v = F.when(r > copies, c("u") / (c("u") + (r - copies)))
+    rows = rows.withColumn(f"{mark}v_", F.when(c("r_") > c("copies_"), c("u") / (c("u") + (c("r_") - c("copies_")))))
     for i in range(draws):
-        copies = copies + F.coalesce((v < c(f"cut{i}")).cast("int"), F.lit(0))
+        rows = rows.withColumn(f"{mark}copies_", c("copies_") + F.coalesce((c("v_") < c(f"cut{i}")).cast("int"), F.lit(0)))
         # Another order of the same documents, for those that may have one more copy.
-        may = (copies < limit) & (c("size") > 0) & (c("size") * (*FILLS, 1)[i] <= c(f"rest{i + 1}"))
-        v = F.when(may, F.pmod(c("u") * (i + 3) + 0.5, F.lit(1.0)))
-    return copies.cast("int"), v
+        may = (c("copies_") < limit) & (c("size") > 0) & (c("size") * (*FILLS, 1)[i] <= c(f"rest{i + 1}"))
+        rows = rows.withColumn(f"{mark}v_", F.when(may, F.pmod(c("u") * (i + 3) + 0.5, F.lit(1.0))))
+    return rows.withColumn(f"{mark}copies_", c("copies_").cast("int"))
 
 
 def state(known: DataFrame, weights: tuple[float, ...], budget: float, limit: int) -> DataFrame:
@@ -127,8 +128,8 @@ def state(known: DataFrame, weights: tuple[float, ...], budget: float, limit: in
     at = common.settle(per.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("source"), "mix-targets")
     at = _dual(known, at, limit).drop("lo", "hi", "err")
     at = common.settle(at, "mix-state")
-    whole = _copies(limit, 0)[0] * F.col("size")
-    used = known.join(common.small(at), F.col("source").eqNullSafe(F.col("s"))).groupBy(F.col("s").alias("z")).agg(F.sum(whole).alias("used"))
+    whole = _copies(known.join(common.small(at), F.col("source").eqNullSafe(F.col("s"))), limit, 0)
+    used = whole.groupBy(F.col("s").alias("z")).agg(F.sum(F.col("copies_") * F.col("size")).alias("used"))
     at = common.settle(at.join(used, F.col("s").eqNullSafe(F.col("z"))).withColumn("rest0", F.col("target") - F.col("used")).drop("z", "used"), "mix-state")
     for i in range(1 + len(FILLS)):
         at = _draw(known, at, limit, i, 2 if i == 0 else 1)
@@ -139,12 +140,13 @@ def _draw(known: DataFrame, at: DataFrame, limit: int, i: int, rounds: int) -> D
     """The state with cut{i} and rest{i + 1}: one more copy goes to the documents whose score is below the cut, as long as
     their source has words left. Each round narrows the cut by BINS bins; a window sees BINS rows a source."""
     cut, width = common.settle(at.withColumns({"cut": F.lit(0.0), "left": F.col(f"rest{i}")}), "mix-cut"), 1.0
-    score = _copies(limit, i)[1]
     for _ in range(rounds):
         width /= BINS
-        part = known.join(common.small(cut), F.col("source").eqNullSafe(F.col("s"))).select("s", "size", "cut", score.alias("v"))
-        part = part.filter((F.col("v") >= F.col("cut")) & (F.col("v") < F.col("cut") + width * BINS))
-        bins = part.groupBy("s", F.least(F.floor((F.col("v") - F.col("cut")) / width), F.lit(BINS - 1)).alias("bin")).agg(F.sum("size").alias("words"))
+        part = _copies(known.join(common.small(cut), F.col("source").eqNullSafe(F.col("s"))), limit, i)
+        # Those beyond the bins are counted as bin -1 of no words; a filter would be pushed down, through all projections.
+        within = F.coalesce((F.col("v_") >= F.col("cut")) & (F.col("v_") < F.col("cut") + width * BINS), F.lit(False))
+        part = part.select("s", "size", "v_", "cut", within.alias("in_"))
+        bins = part.groupBy("s", F.when(F.col("in_"), F.least(F.floor((F.col("v_") - F.col("cut")) / width), F.lit(BINS - 1))).otherwise(F.lit(-1)).alias("bin")).agg(F.sum(F.when(F.col("in_"), F.col("size")).otherwise(F.lit(0))).alias("words"))
         run = Window.partitionBy("s").orderBy("bin")
         upto = bins.withColumn("upto", F.sum("words").over(run)).withColumnRenamed("s", "b").join(common.small(cut.select("s", "left"), of=cut), F.col("b").eqNullSafe(F.col("s")))
         within = upto.filter(F.col("upto") <= F.col("left")).groupBy(F.col("b").alias("z")).agg(F.max("upto").alias("took"), (F.max("bin") + 1).alias("bins"))
@@ -161,7 +163,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float
     common.release(known)
     at = common.renamed(at, {c: f"_mix_{c}" for c in at.columns})
     rows = docs.withColumns({"_mix_size": _size(), "_mix_u": _uniform()}).join(common.small(at), F.col("source").eqNullSafe(F.col("_mix_s")))
-    return rows.select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", _copies(limit, 1 + len(FILLS), "_mix_")[0].alias("_mix_copies"))
+    return _copies(rows, limit, 1 + len(FILLS), "_mix_").select(*docs.columns, "_mix_size", "_mix_source_size", "_mix_target", F.col("_mix_copies_").alias("_mix_copies"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -301,6 +301,15 @@ def test_mixing(spark, data, docs, edge, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_plans_do_not_double_by_draws(docs, monkeypatch):
+    """Each draw adds to a plan what the one before did; written into each other, five took 115,000 characters."""
+    length = lambda df: len(df._jdf.queryExecution().toString())
+    most = []
+    settled(monkeypatch, lambda name, df, _: most.append(length(df)))
+    most.append(length(mixing.mixed(docs)))
+    assert max(most) < 60_000
+
+
 def test_language(spark, docs, edge, empty):
     held = common.crc_mod("doc_id", 4) == 2
     out = language.identify(docs.select("doc_id", "text", "lang"), ~held, keep=("doc_id",)).join(docs.select("doc_id", "lang"), "doc_id").withColumn("held", held).collect()
