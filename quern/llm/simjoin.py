@@ -5,7 +5,7 @@ In each run a representative follows every token whose random number, drawn from
 sets with the wanted similarity share a chosen token with high probability. Nodes with one representative end. In each other node all are
 compared with one of its largest known class, on minhash sketches, and those alike join that class: a large group takes as many links as it has
 rows. Pairs within a class could only tie what is tied. So a node of one class ends, whatever its size; in one of a class and at
-most SMALL others these are compared with all, by brute force. The rest are split again, on tokens sampled from the set by minhash, up
+most BLOCK others these are compared with all, by brute force, so work there grows with the node's rows. The rest are split again, on tokens sampled from the set by minhash, up
 to DEPTH times; what then still is left is compared in blocks. Links tie classes, not rows.
 
 Sketch matches well below the threshold (further below for small sets) give candidate classes (connected components). After every RUNS
@@ -308,7 +308,7 @@ def _blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFra
 
 
 def _compare_rest(rows: DataFrame) -> DataFrame:
-    """a, b: like _compare_small, for nodes of rows(node, size, main, rid, cls, n, sketch) of which few are not of the class main: these go to
+    """a, b: like _compare_small, for nodes of rows(node, size, main, rid, cls, n, sketch) of which at most BLOCK are not of the class main: these go to
     each block of their node, the others to one, and only pairs with one of these are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,7 @@ def _compare_rest(rows: DataFrame) -> DataFrame:
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 left, right = [np.zeros(0, int)], [np.zeros(0, int)]
                 for i in np.flatnonzero(cls[x:y] != main[x:y]):
-                    hit = np.flatnonzero((s[x:y] == s[x + i]).mean(axis=1) >= np.minimum(least[x + i], least[x:y]))
+                    hit = np.flatnonzero(np.count_nonzero(s[x:y] == s[x + i], axis=1) / SKETCH >= np.minimum(least[x + i], least[x:y]))
                     left.append(np.full(len(hit), i))
                     right.append(hit)
                 yield _ties(cls[x:y], _lowest(np.arange(y - x), np.concatenate(left), np.concatenate(right)))
@@ -374,9 +374,9 @@ def candidates(reps: DataFrame, nodes: DataFrame, group: DataFrame | None = None
         per = rows.groupBy("node", "cls").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "cls")).alias("k"))
         still = common.settle(per.select("node", F.col("k.cls").alias("main"), (F.col("all") - F.col("k.c")).alias("others")).filter("others > 0"), "join-open")
         rows = rows.drop("tied").join(common.small(still), "node")
-        found = found.unionByName(_compare_small(rows.filter(F.col("size") <= SMALL))).unionByName(_compare_rest(rows.filter((F.col("size") > SMALL) & (F.col("others") <= SMALL))))
-        large = rows.filter(F.col("others") > SMALL)
-        if still.filter(F.col("others") > SMALL).isEmpty():
+        found = found.unionByName(_compare_small(rows.filter(F.col("size") <= SMALL))).unionByName(_compare_rest(rows.filter((F.col("size") > SMALL) & (F.col("others") <= BLOCK))))
+        large = rows.filter((F.col("size") > SMALL) & (F.col("others") > BLOCK))
+        if still.filter(F.col("others") > BLOCK).isEmpty():
             break
         if depth < DEPTH:
             rows = common.settle(_descend(large, depth + 1).distinct(), "join-nodes")
