@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import common
 
 ROUNDS = 60
+#: Links that a task holds at a time.
+HELD = 1 << 20
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """u, v: stars that tie together what links(u, v) do, some HELD links of a task at a time."""
+
+    def contract(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        i, j = at[: len(u)], at[len(u) :]
+        label = np.arange(len(node))
+        while (label[i] != label[j]).any():
+            low = np.minimum(label[i], label[j])
+            for k in (label[i], label[j]):  # roots are tied, not only what hangs on them
+                np.minimum.at(label, k, low)
+            while (label[label] != label).any():
+                label = label[label]
+        keep = np.flatnonzero(label != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(node[label[keep]])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= HELD:
+                yield contract(held)
+                held, n = [], 0
+        if n:
+            yield contract(held)
+
+    return links.mapInArrow(common.tidied(run), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,8 +52,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then every smaller one: paths
     shrink to stars in a logarithmic number of rounds. Rounds read and write tables; the driver sees two sums of each.
+    Before the first round each task makes stars of the links that it reads, so that fewer rounds are left.
     """
-    edges = common.settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    edges = common.settle(_stars(links.filter("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))), "cc")
     last = None
     for _ in range(ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,8 +64,9 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: u and its smaller neighbours go to the least of them.
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = common.settle(step, "cc")
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        old, edges = edges, common.settle(step, "cc", sum=F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
+        common.release(old)
+        now = (edges._watched["rows"], edges._watched["sum"])
         if now == last:
             break
         last = now

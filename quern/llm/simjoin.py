@@ -351,18 +351,22 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
 
 
 def candidates(reps: DataFrame, nodes: DataFrame, group: DataFrame | None = None) -> DataFrame:
-    """node, root: the candidate classes of reps(rid, n, sketch), as sketches see them in the runs of nodes(rid, nodes), on top of
+    """node, root: the candidate classes of reps(rid, n, sketch), as sketches see them in the runs of nodes(rid, nodes), one row a rid, on top of
     those that group(node, root) holds."""
-    rows = nodes.select("rid", F.explode("nodes").alias("node")).distinct()
+    rows = nodes.select("rid", F.explode(F.array_distinct("nodes")).alias("node"))
     rows = rows.withColumn("cls", F.col("rid")) if group is None else rows.join(group.withColumnsRenamed({"node": "rid"}), "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls"))
-    first_of = reps.select(F.col("rid").alias("first"), F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
     found = None if group is None else group.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for depth in range(DEPTH + 1):
-        per = rows.groupBy("node", "cls").agg(F.count("*").alias("c"), F.min("rid").alias("first")).groupBy("node")
+        per = rows.groupBy("node", "cls").agg(F.count("*").alias("c"), F.min("rid").alias("first")).groupBy("node") if depth or group is not None else rows.withColumns({"c": F.lit(1), "first": F.col("rid")}).groupBy("node")
         per = per.agg(F.sum("c").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("c", "first", "cls")).alias("k")).filter("kinds > 1")
-        per = per.select("node", "size", F.col("k.first").alias("first"), F.col("k.cls").alias("first_cls")).join(first_of, "first")
-        rows = rows.join(per, "node")
-        rows = common.settle(_compare_first(rows if depth else rows.join(reps, "rid")), "join-nodes")
+        per = common.settle(per.select("node", "size", F.col("k.first").alias("first"), F.col("k.cls").alias("first_cls")), "join-shared")
+        rows = rows.join(common.small(per), "node")
+        shared = rows = common.settle(rows if depth else rows.join(reps.select("rid", "n", "sketch"), "rid"), "join-shared")
+        # Each node's first is one of its rows: sketches are not fetched from reps again.
+        first = rows.filter(F.col("rid") == F.col("first")).select("node", F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
+        first = common.settle(first, "join-firsts")
+        rows = common.settle(_compare_first(rows.join(common.small(first), "node")), "join-nodes")
+        common.release(shared)
         ties = rows.filter("tied is not null").select(F.col("tied").alias("a"), F.col("cls").alias("b"))
         found = ties if found is None else found.unionByName(ties)
         if depth == 1:
@@ -379,7 +383,7 @@ def candidates(reps: DataFrame, nodes: DataFrame, group: DataFrame | None = None
         if still.filter(F.col("others") > BLOCK).isEmpty():
             break
         if depth < DEPTH:
-            rows = common.settle(_descend(large, depth + 1).distinct(), "join-nodes")
+            rows = common.settle(_descend(large, depth + 1), "join-nodes")
         else:
             found = found.unionByName(_compare_blocks(_blocked(large.select("node", "rid", "cls", "n", "sketch"), "node", large.select("node", "size").distinct(), BLOCK)))
     return components(common.settle(found.distinct(), "join-links"))
@@ -499,14 +503,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
     copies = common.settle(copies, "join-copies")
     # Rows of one rid agree in all but doc_id, so it doesn't matter which is taken.
-    reps = common.settle(rows.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "join-reps")
-    found, run, nodes = None, 0, rows.filter("n > 0").select("rid", "nodes")
+    reps = common.settle(rows.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")), "join-reps")
+    found, run, nodes = None, 0, reps.select("rid", "nodes")
     while True:
         found = candidates(reps, nodes, found)
         if recall(reps, rows, found) >= TARGET:
             break
         run += RUNS
-        nodes = further_nodes(rows.filter("n > 0"), run)
+        nodes = further_nodes(rows.filter("n > 0"), run).groupBy("rid").agg(F.first("nodes").alias("nodes"))
+        nodes = common.settle(nodes, "join-further")
     group = common.settle(found.join(copies.select(F.col("rid").alias("node"), "copies", "n"), "node").withColumnRenamed("node", "rid"), "join-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     sizes = sizes.select("root", F.greatest(F.col("rows"), F.ceil(F.col("items") * BLOCK / BLOCK_ITEMS)).alias("size"))

@@ -156,6 +156,15 @@ def test_links_of_a_large_group_do_not_multiply(spark, monkeypatch):
     assert max(links) <= 4 * len(rows)
 
 
+def test_nodes_hold_the_sketches_they_are_compared_with(spark, monkeypatch):
+    """The table of sketches is joined once, not again at each depth for the first row of each node."""
+    base, again = [f"w{i}" for i in range(120)], []
+    rows = [(i, " ".join([*base[:30], *(f"y{i}-{k}" for k in range(90))]), None, None, 0) for i in range(1200)]
+    settled(monkeypatch, lambda name, df, _: again.append(any("/join-reps-" in f for f in df.inputFiles())) if name == "join-nodes" else None)
+    simjoin.join(spark.createDataFrame(rows, SCHEMA))
+    assert len(again) > 1 and not any(again)
+
+
 def test_near_duplicates_leave_texts_in_place(spark, data, docs):
     """The pipeline's second stage neither hashes nor shuffles the texts again to drop its rows."""
     import corpus_pipeline as cp
@@ -248,6 +257,15 @@ def test_components(spark):
     assert set(got[i] for i in range(61)) == {0} and got[200] == got[150] == 100
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    settled(monkeypatch, lambda name, *_: rounds.append(name))
+    order = np.random.default_rng(7).permutation(4000).tolist()
+    links = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long")
+    assert {tuple(r) for r in components.components(links).collect()} == {(i, 0) for i in range(4000)}
+    assert len(rounds) <= 6
+
+
 def waterfill(sizes, weights, budget):
     """Targets by repeated sharing, as the contract words it."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
