@@ -48,14 +48,21 @@ def settle(df: DataFrame, name: str, **watch: Column) -> DataFrame:
     flat = all(kind in ("string", "binary") or "<" not in kind for _, kind in df.dtypes)
     out._settled = (path, (16 + 16 * len(df.columns)) * got["rows"] + (got["bytes"] or 0) if flat else None)
     out._watched = got
+    give_back()
+    return out
+
+
+def as_settled(df: DataFrame, out: DataFrame) -> DataFrame:
+    """out, which has the rows of the settled table df and columns of some numbers more or less: it counts as that table."""
+    path, size = df._settled
+    rows = df._watched["rows"]
+    out._watched, out._settled = df._watched, (path, size if size is None else size + 16 * rows * (len(out.columns) - len(df.columns)))
     return out
 
 
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """A settled table under other column names."""
-    out = df.withColumnsRenamed(names)
-    out._settled = df._settled
-    return out
+    return as_settled(df, df.withColumnsRenamed(names))
 
 
 def release(df: DataFrame) -> None:
@@ -77,6 +84,13 @@ def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
 BATCH_ROWS = 1024
 
 
+def give_back() -> None:
+    """What allocators keep of freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run):
     """A function over batches after whose task the worker gives freed memory back: workers are used again by later stages,
     and what allocators keep for themselves would add up. Where the session has Spark's own number of rows a batch, it gets
@@ -90,9 +104,7 @@ def tidied(run):
             yield from run(batches)
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return inner
 

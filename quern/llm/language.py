@@ -222,6 +222,7 @@ _LIVE: dict[int, Identifier] = {}
 def identify(docs: DataFrame, training: Column, keep: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
     """The columns keep of docs(doc_id, text, lang), with lang_pred, score, rejected."""
     fitted = fit(docs, training, sample)
+    common.give_back()
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

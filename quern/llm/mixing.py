@@ -126,8 +126,7 @@ def state(known: DataFrame, weights: tuple[float, ...], budget: float, limit: in
     per = common.settle(per, "mix-sources")
     goal = targets(per, weights, budget, limit).select(F.col("source").alias("s"), "target")
     at = common.settle(per.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("source"), "mix-targets")
-    at = _dual(known, at, limit).drop("lo", "hi", "err")
-    at = common.settle(at, "mix-state")
+    at = common.as_settled(dual := _dual(known, at, limit), dual.drop("lo", "hi", "err"))
     whole = _copies(known.join(common.small(at), F.col("source").eqNullSafe(F.col("s"))), limit, 0)
     used = whole.groupBy(F.col("s").alias("z")).agg(F.sum(F.col("copies_") * F.col("size")).alias("used"))
     at = common.settle(at.join(used, F.col("s").eqNullSafe(F.col("z"))).withColumn("rest0", F.col("target") - F.col("used")).drop("z", "used"), "mix-state")
@@ -139,7 +138,7 @@ def state(known: DataFrame, weights: tuple[float, ...], budget: float, limit: in
 def _draw(known: DataFrame, at: DataFrame, limit: int, i: int, rounds: int) -> DataFrame:
     """The state with cut{i} and rest{i + 1}: one more copy goes to the documents whose score is below the cut, as long as
     their source has words left. Each round narrows the cut by BINS bins; a window sees BINS rows a source."""
-    cut, width = common.settle(at.withColumns({"cut": F.lit(0.0), "left": F.col(f"rest{i}")}), "mix-cut"), 1.0
+    cut, width = common.as_settled(at, at.withColumns({"cut": F.lit(0.0), "left": F.col(f"rest{i}")})), 1.0
     for _ in range(rounds):
         width /= BINS
         part = _copies(known.join(common.small(cut), F.col("source").eqNullSafe(F.col("s"))), limit, i)

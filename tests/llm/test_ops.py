@@ -319,6 +319,14 @@ def test_mixing(spark, data, docs, edge, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_draws_settle_a_table_a_round(docs, monkeypatch):
+    """The driver plans and runs each table; the first draw has two rounds, the others one."""
+    names = []
+    settled(monkeypatch, lambda name, *_: names.append(name))
+    mixing.mixed(docs)
+    assert names.count("mix-cut") == 2 + len(mixing.FILLS)
+
+
 def test_mixing_plans_do_not_double_by_draws(docs, monkeypatch):
     """Each draw adds to a plan what the one before did; written into each other, five took 115,000 characters."""
     length = lambda df: len(df._jdf.queryExecution().toString())
