@@ -76,8 +76,13 @@ def release(df: DataFrame) -> None:
 def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """df with a hint to broadcast, if it, or the settled table whose projection it is, was measured to be within
     BROADCAST_BYTES as rows in memory. Tables with nested columns are never broadcast."""
-    size = (df if of is None else of)._settled[1]
-    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if fits(df if of is None else of) else df
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether df is a settled table that was measured to be within BROADCAST_BYTES."""
+    size = getattr(df, "_settled", (None, None))[1]
+    return size is not None and size <= BROADCAST_BYTES
 
 
 #: Rows of an Arrow batch, instead of Spark's 10,000: of whole texts those are tens of MB in the executor and again in the worker.

@@ -16,8 +16,8 @@ ROUNDS = 60
 HELD = 1 << 20
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """u, v: stars that tie together what links(u, v) do, some HELD links of a task at a time."""
+def stars(batches: Iterator[pa.RecordBatch], names: tuple[str, str] = ("u", "v")) -> Iterator[pa.RecordBatch]:
+    """Links from each node to the least of its component, as the links (u, v) in batches tie them together, some HELD links at a time."""
 
     def contract(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
@@ -31,32 +31,49 @@ def _stars(links: DataFrame) -> DataFrame:
             while (label[label] != label).any():
                 label = label[label]
         keep = np.flatnonzero(label != np.arange(len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(node[label[keep]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(node[label[keep]])], names=list(names))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= HELD:
-                yield contract(held)
-                held, n = [], 0
-        if n:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= HELD:
             yield contract(held)
+            held, n = [], 0
+    if n:
+        yield contract(held)
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """u, v: stars that tie together what links(u, v) do, some HELD links of a task at a time."""
+    return links.mapInArrow(common.tidied(stars), "u long, v long")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """node, root of at most HELD links(u, v), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stars(batches):
+            u, v = (b.column(k).to_numpy() for k in (0, 1))
+            root = np.unique(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((u, root), (v, root))], names=["node", "root"])
 
-    return links.mapInArrow(common.tidied(run), "u long, v long")
+    return links.coalesce(1).mapInArrow(common.tidied(run), "node long, root long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for every node of links(a, b).
+    """node, root (the smallest node of its component) for every node of links(a, b), settled.
 
     Each round links every larger neighbour of a node to the node's smallest neighbour, then every smaller one: paths
     shrink to stars in a logarithmic number of rounds. Rounds read and write tables; the driver sees two sums of each.
-    Before the first round each task makes stars of the links that it reads, so that fewer rounds are left.
+    Before the first round each task makes stars of the links that it reads, so that fewer rounds are left. Once a table was
+    counted to have at most HELD links, one task ends them: rounds of small tables cost their tasks' starts and little else.
     """
     edges = common.settle(_stars(links.filter("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))), "cc")
     last = None
     for _ in range(ROUNDS):
+        if edges._watched["rows"] <= HELD:
+            return common.settle(_roots(edges), "cc")
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: the larger neighbours of u go to the least of u and its neighbours.
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -71,4 +88,4 @@ def components(links: DataFrame) -> DataFrame:
             break
         last = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return common.settle(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "cc")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import common
-from quern.llm.components import components
+from quern.llm.components import components, stars
 
 WORDS, THRESHOLD = 5, 0.8
 #: P(no shared chosen token in a run) is about exp(-BRANCH) at the threshold.
@@ -232,8 +232,8 @@ def _lowest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _compare_first(rows: DataFrame) -> DataFrame:
-    """node, size, rid, n, sketch, cls, tied of rows(..., first_cls, first_n, first_sketch): a row alike the first of its node takes
-    over the class of that, and tied is its own class before, else null."""
+    """node, size, rid, n, sketch, cls, tied, main of rows(..., first_cls, first_n, first_sketch): a row alike the first of its node takes
+    over the class of that, main, and tied is its own class before, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,9 +241,9 @@ def _compare_first(rows: DataFrame) -> DataFrame:
                 n, cls, first_cls, first_n = (b.column(k).to_numpy() for k in (3, 5, 6, 7))
                 s, first = (_bytes(pa.chunked_array([b.column(k)]), SKETCH) for k in (4, 8))
                 alike = (cls == first_cls) | ((s == first).mean(axis=1) >= np.minimum(loose(n), loose(first_n)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.where(alike, first_cls, cls)), pa.array(cls, mask=~alike | (cls == first_cls))], names=["node", "size", "rid", "n", "sketch", "cls", "tied"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(np.where(alike, first_cls, cls)), pa.array(cls, mask=~alike | (cls == first_cls)), b.column(6)], names=["node", "size", "rid", "n", "sketch", "cls", "tied", "main"])
 
-    return rows.select("node", "size", "rid", "n", "sketch", "cls", "first_cls", "first_n", "first_sketch").mapInArrow(common.tidied(run), "node long, size long, rid long, n int, sketch binary, cls long, tied long")
+    return rows.select("node", "size", "rid", "n", "sketch", "cls", "first_cls", "first_n", "first_sketch").mapInArrow(common.tidied(run), "node long, size long, rid long, n int, sketch binary, cls long, tied long, main long")
 
 
 def _ties(cls: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
@@ -253,27 +253,20 @@ def _ties(cls: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
 
-def _compare_small(rows: DataFrame) -> DataFrame:
-    """a, b: links that tie together the classes in which brute force finds rows alike in each node of rows(node, cls, n, sketch)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "node"):
-            node = t.column("node").to_numpy()
-            s, left, right, d = _bytes(t.column("sketch"), SKETCH), [], [], 1
-            least = loose(t.column("n").to_numpy())
-            while d < len(node):
-                i = np.flatnonzero(node[:-d] == node[d:])
-                if not len(i):
-                    break
-                alike = np.concatenate([(s[x] == s[x + d]).mean(axis=1) for x in np.array_split(i, len(i) // 50_000 + 1)])
-                hit = i[alike >= np.minimum(least[i], least[i + d])]
-                left.append(hit)
-                right.append(hit + d)
-                d += 1
-            i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-            yield _ties(t.column("cls").to_numpy(), _lowest(np.arange(len(node)), i, j))
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(common.tidied(run), "a long, b long")
+def _within_small(node: np.ndarray, s: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows alike in one node, for rows sorted by node, all nodes at a time."""
+    left, right, d = [], [], 1
+    while d < len(node):
+        i = np.flatnonzero(node[:-d] == node[d:])
+        if not len(i):
+            break
+        alike = np.concatenate([(s[x] == s[x + d]).mean(axis=1) for x in np.array_split(i, len(i) // 50_000 + 1)])
+        hit = i[alike >= np.minimum(least[i], least[i + d])]
+        left.append(hit)
+        right.append(hit + d)
+        d += 1
+    i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
+    return i, j
 
 
 def _descend(rows: DataFrame, depth: int) -> DataFrame:
@@ -308,14 +301,19 @@ def _blocked(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFra
 
 
 def _compare_rest(rows: DataFrame) -> DataFrame:
-    """a, b: like _compare_small, for nodes of rows(node, size, main, rid, cls, n, sketch) of which at most BLOCK are not of the class main: these go to
-    each block of their node, the others to one, and only pairs with one of these are compared."""
+    """a, b: links that tie together the classes in which brute force finds rows alike in each node of rows(node, size, main, rid, cls, n, sketch), of
+    which at most BLOCK are not of the class main: these go to each block of their node, the others to one, and only pairs with one of these are
+    compared. Nodes of at most SMALL rows are one block, all of whose pairs are compared. Both kinds share a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "part"):
-            part = t.column("part").to_numpy()
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-            cls, main, s, least = t.column("cls").to_numpy(), t.column("main").to_numpy(), _bytes(t.column("sketch"), SKETCH), loose(t.column("n").to_numpy())
+            few = t.column("few").to_numpy()
+            part, cls, main = (t.column(c).to_numpy() for c in ("part", "cls", "main"))
+            s, least = _bytes(t.column("sketch"), SKETCH), loose(t.column("n").to_numpy())
+            if few.any():
+                yield _ties(cls[few], _lowest(np.arange(np.count_nonzero(few)), *_within_small(part[few], s[few], least[few])))
+            part, cls, main, s, least = (x[~few] for x in (part, cls, main, s, least))
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 left, right = [np.zeros(0, int)], [np.zeros(0, int)]
                 for i in np.flatnonzero(cls[x:y] != main[x:y]):
@@ -326,12 +324,17 @@ def _compare_rest(rows: DataFrame) -> DataFrame:
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.when(F.col("cls") == F.col("main"), F.array(F.pmod(F.xxhash64("rid", F.lit("block")), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    rows = rows.withColumn("block", F.explode(block)).withColumn("part", F.xxhash64("node", "block")).select("part", "cls", "main", "n", "sketch")
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "a long, b long")
+    rows = rows.withColumns({"block": F.explode(block), "few": F.col("size") <= SMALL}).withColumn("part", F.xxhash64("node", "block")).select("part", "few", "cls", "main", "n", "sketch")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(_as_stars(run)), "a long, b long")
+
+
+def _as_stars(run):
+    """run, whose links (a, b) become stars before they leave the task."""
+    return lambda batches: stars(run(batches), ("a", "b"))
 
 
 def _compare_blocks(rows: DataFrame) -> DataFrame:
-    """a, b: like _compare_small, for rows(part, side, cls, n, sketch) of pairs of blocks."""
+    """a, b: like _compare_rest, for rows(part, side, cls, n, sketch) of pairs of blocks, all of whose pairs are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "part"):
@@ -347,53 +350,60 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
                 if left:
                     yield _ties(cls[x:y], _lowest(np.arange(len(sk)), np.concatenate(left), np.concatenate(right)))
 
-    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(run), "a long, b long")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(common.tidied(_as_stars(run)), "a long, b long")
 
 
 def candidates(reps: DataFrame, nodes: DataFrame, group: DataFrame | None = None) -> DataFrame:
     """node, root: the candidate classes of reps(rid, n, sketch), as sketches see them in the runs of nodes(rid, nodes), one row a rid, on top of
-    those that group(node, root) holds."""
-    rows = nodes.select("rid", F.explode(F.array_distinct("nodes")).alias("node"))
-    rows = rows.withColumn("cls", F.col("rid")) if group is None else rows.join(group.withColumnsRenamed({"node": "rid"}), "rid", "left").select("rid", "node", F.coalesce("root", "rid").alias("cls"))
+    those that group(node, root) holds. nodes may be reps itself."""
+    rows = nodes.select("rid", *[c for c in ("n", "sketch") if c in nodes.columns], F.explode(F.array_distinct("nodes")).alias("node"))
+    rows = rows.withColumn("cls", F.col("rid")) if group is None else rows.join(common.small(common.renamed(group, {"node": "rid"})), "rid", "left").withColumn("cls", F.coalesce("root", "rid")).drop("root")
     found = None if group is None else group.select(F.col("node").alias("a"), F.col("root").alias("b"))
     for depth in range(DEPTH + 1):
         per = rows.groupBy("node", "cls").agg(F.count("*").alias("c"), F.min("rid").alias("first")).groupBy("node") if depth or group is not None else rows.withColumns({"c": F.lit(1), "first": F.col("rid")}).groupBy("node")
         per = per.agg(F.sum("c").alias("size"), F.count("*").alias("kinds"), F.max(F.struct("c", "first", "cls")).alias("k")).filter("kinds > 1")
         per = common.settle(per.select("node", "size", F.col("k.first").alias("first"), F.col("k.cls").alias("first_cls")), "join-shared")
-        rows = rows.join(common.small(per), "node")
-        shared = rows = common.settle(rows if depth else rows.join(reps.select("rid", "n", "sketch"), "rid"), "join-shared")
+        if not depth and not ("sketch" in rows.columns and common.fits(per)):
+            # Sketches are not shuffled with rows that go: they are fetched for those that stay.
+            rows = rows.drop("n", "sketch").join(common.small(per), "node").join(reps.select("rid", "n", "sketch"), "rid")
+        else:
+            rows = rows.join(common.small(per), "node")
+        shared = rows = common.settle(rows, "join-shared")
         # Each node's first is one of its rows: sketches are not fetched from reps again.
         first = rows.filter(F.col("rid") == F.col("first")).select("node", F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
         first = common.settle(first, "join-firsts")
         rows = common.settle(_compare_first(rows.join(common.small(first), "node")), "join-nodes")
         common.release(shared)
-        ties = rows.filter("tied is not null").select(F.col("tied").alias("a"), F.col("cls").alias("b"))
+        ties = rows.filter("tied is not null").select(F.col("tied").alias("a"), F.col("cls").alias("b")).mapInArrow(common.tidied(_as_stars(iter)), "a long, b long")
         found = ties if found is None else found.unionByName(ties)
         if depth == 1:
             # What lies in one class by other nodes, too, needs no comparison in the nodes that are split further.
-            known = components(common.settle(found.distinct(), "join-links"))
+            known = components(common.settle(found, "join-links"))
             found = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            rows = rows.join(known.withColumnsRenamed({"node": "rid"}), "rid", "left").withColumn("cls", F.coalesce("root", "cls")).drop("root")
+            rows = rows.join(common.small(common.renamed(known, {"node": "rid"})), "rid", "left").withColumn("cls", F.coalesce("root", "cls")).drop("root")
+            # The largest class of a node may be another now.
+            per = rows.groupBy("node", "cls").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "cls")).alias("k")).select("node", F.col("k.cls").alias("main"), (F.col("all") - F.col("k.c")).alias("others"))
+        else:
+            per = rows.groupBy("node", "main").agg(F.count_if(F.col("cls") != F.col("main")).alias("others"))
         # Nodes of several classes still, with the largest of them and what is not in it.
-        per = rows.groupBy("node", "cls").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("all"), F.max(F.struct("c", "cls")).alias("k"))
-        still = common.settle(per.select("node", F.col("k.cls").alias("main"), (F.col("all") - F.col("k.c")).alias("others")).filter("others > 0"), "join-open")
-        rows = rows.drop("tied").join(common.small(still), "node")
-        found = found.unionByName(_compare_small(rows.filter(F.col("size") <= SMALL))).unionByName(_compare_rest(rows.filter((F.col("size") > SMALL) & (F.col("others") <= BLOCK))))
-        large = rows.filter((F.col("size") > SMALL) & (F.col("others") > BLOCK))
-        if still.filter(F.col("others") > BLOCK).isEmpty():
+        still = common.settle(per.filter("others > 0"), "join-open", large=F.count_if(F.col("others") > BLOCK))
+        rows = rows.drop("tied", "main").join(common.small(still), "node")
+        found = found.unionByName(_compare_rest(rows.filter((F.col("size") <= SMALL) | (F.col("others") <= BLOCK))))
+        if not still._watched["large"]:
             break
+        large = rows.filter((F.col("size") > SMALL) & (F.col("others") > BLOCK))
         if depth < DEPTH:
             rows = common.settle(_descend(large, depth + 1), "join-nodes")
         else:
             found = found.unionByName(_compare_blocks(_blocked(large.select("node", "rid", "cls", "n", "sketch"), "node", large.select("node", "size").distinct(), BLOCK)))
-    return components(common.settle(found.distinct(), "join-links"))
+    return components(common.settle(found, "join-links"))
 
 
 def recall(reps: DataFrame, rows: DataFrame, group: DataFrame) -> float:
     """The share of pairs alike that lie in one class of group(node, root): QUERIES of reps(rid, n, sketch), drawn by hash, against
     all others by brute force on the sketches; what these find is checked on the tokens of rows(rid, tokens), as sketches of few
     tokens may agree where no token does, which no run would ever tie. 1 if there is no such pair."""
-    classed = reps.join(group, F.col("rid") == F.col("node"), "left").select("rid", "n", "sketch", F.coalesce("root", "rid").alias("root"))
+    classed = reps.join(common.small(group), F.col("rid") == F.col("node"), "left").select("rid", "n", "sketch", F.coalesce("root", "rid").alias("root"))
     drawn = reps.orderBy(F.xxhash64(F.lit("query"), "rid")).limit(QUERIES).select("rid")
     asked = classed.join(F.broadcast(drawn), "rid").collect()
     q = np.frombuffer(b"".join(bytes(r["sketch"]) for r in asked), np.uint8).reshape(-1, SKETCH)
@@ -500,11 +510,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For each row of docs(doc_id, text): doc_id, rid, key (xxhash64 of the text); and for each set: rid, least (its least doc_id, null if all are), root
     (one rid of its class), n_links."""
     rows = common.settle(represent(docs), "join-rows")
-    copies = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"))
-    copies = common.settle(copies, "join-copies")
     # Rows of one rid agree in all but doc_id, so it doesn't matter which is taken.
-    reps = common.settle(rows.filter("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes")), "join-reps")
-    found, run, nodes = None, 0, reps.select("rid", "nodes")
+    sets = rows.groupBy("rid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "sketch", "nodes")])
+    sets = common.settle(sets, "join-reps")
+    copies, reps = sets.select("rid", "copies", "least", "n"), sets.filter("n > 0").select("rid", "n", "sketch", "nodes")
+    found, run, nodes = None, 0, reps
     while True:
         found = candidates(reps, nodes, found)
         if recall(reps, rows, found) >= TARGET:
@@ -512,16 +522,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         run += RUNS
         nodes = further_nodes(rows.filter("n > 0"), run).groupBy("rid").agg(F.first("nodes").alias("nodes"))
         nodes = common.settle(nodes, "join-further")
-    group = common.settle(found.join(copies.select(F.col("rid").alias("node"), "copies", "n"), "node").withColumnRenamed("node", "rid"), "join-groups")
+    group = common.settle(copies.join(common.small(common.renamed(found, {"node": "rid"})), "rid").select("rid", "root", "copies", "n"), "join-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
     sizes = sizes.select("root", F.greatest(F.col("rows"), F.ceil(F.col("items") * BLOCK / BLOCK_ITEMS)).alias("size"))
     # Only sets that have a candidate are moved, and copies are dropped before it.
-    tokens = rows.join(common.small(group.select("rid"), of=group), "rid", "left_semi").groupBy(F.col("rid").alias("r")).agg(F.first("tokens").alias("tokens"))
-    member = group.hint("merge").join(tokens.hint("merge"), F.col("r") == F.col("rid")).select("rid", "root", "copies", "tokens")
+    member = rows.select("rid", "tokens").join(common.small(group.select("rid", "root", "copies"), of=group), "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("root", "copies", "tokens")])
     checked = common.settle(_verify(_blocked(member, "root", sizes, BLOCK)), "join-checked")
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(checked.select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    c = copies.join(links, "rid", "left").join(final.withColumnRenamed("node", "rid"), "rid", "left")
+    c = copies.join(links, "rid", "left").join(common.small(common.renamed(final, {"node": "rid"})), "rid", "left")
     c = common.settle(c.select("rid", F.coalesce("root", "rid").alias("root"), "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "join-classes")
     return rows.select("doc_id", "rid", "key"), c
 

@@ -266,6 +266,30 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 6
 
 
+def test_components_of_few_links_take_no_round(spark, monkeypatch):
+    """Links of whole paths over many tasks end in one task while they are counted to be few, and in rounds beyond that."""
+    tables, links = [], [(k * 1000 + i, k * 1000 + i + 1) for i in range(40) for k in range(20)]
+    settled(monkeypatch, lambda name, *_: tables.append(name))
+    df, want = spark.createDataFrame(links, "a long, b long").repartition(16), {(k * 1000 + i, k * 1000) for i in range(41) for k in range(20)}
+    assert {tuple(r) for r in components.components(df).collect()} == want and len(tables) == 2
+    monkeypatch.setattr(components, "HELD", 50)
+    got = [tuple(r) for r in components.components(df).collect()]
+    assert set(got) == want and len(got) == len(want) and len(tables) > 4
+
+
+def test_join_shuffles_few_tables(spark, monkeypatch):
+    """On groups that go to the last depth, what is counted or compared at a depth is dealt once, not once for each kind of node."""
+    base, dealt = [f"w{i}" for i in range(120)], []
+    monkeypatch.setattr(simjoin, "BLOCK", 128)
+    rows = [(i, " ".join([*base[:30], *(f"y{i}-{k}" for k in range(90))]), None, None, 0) for i in range(600)]
+    rows += [(600 + i, " ".join([*base[: i % 110], f"x{i}", *base[i % 110 + 1 :]]), None, None, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    settled(monkeypatch, lambda name, t, _: dealt.append((name, t._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))))
+    assert sorted((tuple(r) for r in simjoin.join(df).collect()), key=repr) == brute(df)
+    assert [name for name, _ in dealt].count("join-open") > 1 and max(n for name, n in dealt if name == "join-open") <= 2
+    assert sum(n for _, n in dealt) <= 30, dealt
+
+
 def waterfill(sizes, weights, budget):
     """Targets by repeated sharing, as the contract words it."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
